@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.token_counts import count_tokens
 
 
@@ -18,8 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_piece_codec": op5_piece_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
