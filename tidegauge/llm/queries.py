@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.language_id import identify
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.token_counts import count_tokens
 
@@ -23,9 +24,14 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op5_piece_codec": op5_piece_codec,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
