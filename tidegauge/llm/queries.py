@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge.llm.decontamination import find_items
 from tidegauge.llm.language_id import identify
+from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.token_counts import count_tokens
 
@@ -20,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), digest)
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -28,10 +36,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op8_language_id": op8_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
