@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegauge.llm.decontamination import find_items
 from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
+from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.token_counts import count_tokens
 
@@ -36,6 +37,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "added")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op8_language_id": op8_language_id,
+    "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
 }
 
