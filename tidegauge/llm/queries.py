@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm.decontamination import find_items
+from tidegauge.llm.fingerprints import edited_and_next
 from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
 from tidegauge.llm.personal_data import find_personal_data
@@ -29,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), digest)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_and_next(_docs(spark, sf_dir))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,6 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op5_piece_codec": op5_piece_codec,
     "op8_language_id": op8_language_id,
     "op9_personal_data": op9_personal_data,
