@@ -7,12 +7,16 @@ k-gram hashes and window minima are built by doubling (zip_with over shifted arr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Words of a gram and grams of a window.
 GRAM, WINNOW = 5, 8
 #: Low bits of a chosen value that hold the (reversed) position; texts of more words share positions modulo this.
 POSITION_BITS = 24
+#: Ranges up to which their table is broadcast (24 MB); a larger one is joined by a shuffle.
+BROADCAST_RANGES = 1_000_000
 #: Rows that one range of ids holds on average, when documents are put in order.
 RANGE_ROWS = 2048
 
@@ -34,7 +38,7 @@ def _doubled(df: DataFrame, source: str, out: str, width: int, join) -> DataFram
 
 
 def winnowed(df: DataFrame, text_col: str, out: str, k: int = GRAM, w: int = WINNOW) -> DataFrame:
-    """``df`` with ``out``: array<struct<hash long, position int>> of the text's chosen grams, in order of position.
+    """``df`` with ``out``: the text's chosen grams in order of position, each packed into one long (see ``unpacked``).
 
     Words are runs without white space, ASCII letters lower-cased. A text of fewer than k words is one gram; a null text
     or one without words has no gram. The hash has 64 - POSITION_BITS bits.
@@ -51,18 +55,31 @@ def winnowed(df: DataFrame, text_col: str, out: str, k: int = GRAM, w: int = WIN
     df = df.withColumn("__packed", packed)
     df = _doubled(df, "__packed", "__least", w, lambda have, step: lambda a, b: F.least(a, b))
     df = df.withColumn("__least", F.when(F.size("__packed").between(1, w - 1), F.array(F.array_min("__packed"))).otherwise(F.col("__least")))
-    unpack = lambda v: F.struct(F.shiftright(v, POSITION_BITS).alias("hash"), F.lit(mask).bitwiseXOR(v.bitwiseAND(F.lit(mask))).cast("int").alias("position"))
-    return df.withColumn(out, F.transform(F.array_distinct("__least"), unpack)).drop("__hash", "__n", "__gram", "__packed", "__least")
+    return df.withColumn(out, F.array_distinct("__least")).drop("__hash", "__n", "__gram", "__packed", "__least")
+
+
+def _hash(packed: Column) -> Column:
+    return F.shiftright(packed, POSITION_BITS)
+
+
+def _position(packed: Column) -> Column:
+    mask = F.lit((1 << POSITION_BITS) - 1)
+    return mask.bitwiseXOR(packed.bitwiseAND(mask)).cast("int")
+
+
+def unpacked(marks: Column) -> Column:
+    """A winnowed column as array<struct<hash long, position int>>."""
+    return F.transform(marks, lambda v: F.struct(_hash(v).alias("hash"), _position(v).alias("position")))
 
 
 def hashes(marks: Column) -> Column:
     """The distinct hashes of a winnowed column, sorted: the set that two texts are compared by."""
-    return F.array_sort(F.array_distinct(F.transform(marks, lambda m: m["hash"])))
+    return F.array_sort(F.array_distinct(F.transform(marks, _hash)))
 
 
 def written(marks: Column) -> Column:
     """A winnowed column as one string, hash:position joined by blanks; empty without grams."""
-    return F.array_join(F.transform(marks, lambda m: F.concat_ws(":", F.hex(m["hash"]), m["position"])), " ")
+    return F.array_join(F.transform(marks, lambda m: F.concat_ws(":", F.hex(_hash(m)), _position(m))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,32 +90,34 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, w: int = WINNOW) -> DataFrame:
-    """``docs`` with ``marks`` (see ``winnowed``); one row per row."""
-    return winnowed(docs.select(id_col, text_col), text_col, "marks", k, w)
+    """doc_id and ``marks``, array<struct<hash long, position int>>; one row per row."""
+    marked = winnowed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "marks", k, w)
+    return marked.select("doc_id", unpacked(F.col("marks")).alias("marks"))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = RANGE_ROWS, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``df`` with ``__next``: a struct of ``columns`` of the row that follows in descending id order; the first follows the last.
 
-    Ids are cut into ranges of equal width, about ``range_rows`` rows each, and put in order within each range; the head of
-    each range is handed to the range above it. Rows of one id follow each other in the order of ``columns``; null ids come
-    last. One row follows itself. Ids that crowd into a few ranges make those ranges larger, not wrong.
+    Ids are cut into ranges of equal width, about ``range_rows`` rows each, and put in order within each range; the rows
+    of each range's largest id are handed to the range above it too. Rows of one id follow each other in the order of
+    ``columns``; null ids come last. One row follows itself. Ids that crowd into few ranges make these larger, not wrong.
+    ``prepare`` adds those of ``columns`` that ``df`` hasn't, after the rows to hand up have been picked.
     """
     low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
+    low, high = (0, 0) if low is None else (low, high)
     width = max(1, -(-(high - low + 1) * range_rows // max(n, 1)))
     placed = df.withColumn("__range", F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("long"))
-    order = [F.col(id_col).desc_nulls_last(), *columns]
-    turn = Window.partitionBy("__range").orderBy(*order)
-    led = placed.withColumn("__next", F.lead(F.struct(*columns)).over(turn))
-    first = placed.groupBy("__range").agg(F.min_by(F.struct(*columns), F.struct((-F.col(id_col)).isNull(), -F.col(id_col), *columns)).alias("__head"))
-    ranges = df.select(F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1)).cast("long").alias("__range")).distinct()
+    tops = placed.groupBy("__range").agg(F.max(id_col).alias("__top"))
     # Only range numbers meet in one task here, one row for range_rows documents.
-    around = ranges.withColumn("__below", F.lead("__range").over(Window.orderBy(F.desc("__range"))))
-    around = around.withColumn("__below", F.coalesce("__below", F.max("__range").over(Window.partitionBy(F.lit(1)))))
-    heads = around.join(first.withColumnRenamed("__range", "__below"), "__below").select("__range", "__head")
-    return led.join(heads, "__range").withColumn("__next", F.coalesce("__next", "__head")).drop("__range", "__head")
+    tops = tops.withColumn("__above", F.lag("__range").over(Window.orderBy(F.desc("__range"))))
+    tops = tops.withColumn("__above", F.coalesce("__above", F.min("__range").over(Window.partitionBy(F.lit(1)))))
+    tops = tops.select(F.col("__range").alias("__from"), "__top", "__above")
+    tops = F.broadcast(tops) if (high - low) // width < BROADCAST_RANGES else tops
+    handed = placed.join(tops, (placed["__range"] == tops["__from"]) & placed[id_col].eqNullSafe(tops["__top"]))
+    handed = handed.select(*df.columns, F.col("__above").alias("__range"), F.lit(True).alias("__lent"))
+    lent = prepare(placed.withColumn("__lent", F.lit(False))).unionByName(prepare(handed))
+    turn = Window.partitionBy("__range").orderBy("__lent", F.col(id_col).desc_nulls_last(), *columns)
+    return lent.withColumn("__next", F.lead(F.struct(*columns)).over(turn)).where("not __lent").drop("__range", "__lent")
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, w: int = WINNOW) -> DataFrame:
@@ -108,8 +127,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id order. A null text counts as empty; an empty text's edit is empty, and empty texts are alike.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = winnowed(texts, "text", "marks", k, w)
-    paired = with_next(marked, "doc_id", ["text", "marks"])
+    paired = with_next(texts, "doc_id", ["text", "marks"], prepare=lambda df: winnowed(df, "text", "marks", k, w))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", 1, F.length("text") - third), F.substring("__next.text", 1, third))
     both = winnowed(paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited), "edited", "edited_marks", k, w)
