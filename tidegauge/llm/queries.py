@@ -14,6 +14,7 @@ from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
 from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
+from tidegauge.llm.substring_dedup import dedup_windows
 from tidegauge.llm.token_counts import count_tokens
 
 
@@ -35,6 +36,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_and_next(_docs(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(_docs(spark, sf_dir))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
