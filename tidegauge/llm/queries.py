@@ -15,6 +15,7 @@ from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
 from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.substring_dedup import dedup_windows
+from tidegauge.llm.suffix_dedup import dedup_bytes
 from tidegauge.llm.token_counts import count_tokens
 
 
@@ -44,6 +45,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(_docs(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_docs(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_personal_data": op9_personal_data,
