@@ -122,8 +122,22 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return CentroidModel(idf, np.concatenate(parts), names)
 
 
+def _judged(texts: pa.Array, model: CentroidModel, reject_cosine: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, language, score, rejected) of runs of rows."""
+    names = np.array(model.langs or ["und"], object)
+    for first, last, data, offsets in chunks(texts):
+        total = np.concatenate([[0], np.cumsum(_LETTER[_SIGN[data]])])
+        has = total[offsets[1:]] > total[offsets[:-1]]
+        for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
+            has[k] = bool(_ANY_LETTER.search(texts[first + int(k)].as_py()))
+        has &= len(model.langs) > 0
+        best, score = model.nearest(gram_counts(data, offsets)) if model.langs else (np.zeros(last - first, int), np.zeros(last - first))
+        score = np.where(has, score, 0.0)
+        yield first, last, np.where(has, names[best], "und"), score, ~has | (score < reject_cosine)
+
+
 def predict(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", reject_cosine: float = REJECT_COSINE) -> DataFrame:
-    """All columns of ``docs`` but the text are dropped save the id: doc_id, lang_pred, score, rejected; one row per row.
+    """doc_id, lang_pred, score, rejected: one row per row of ``docs``; other columns are not read.
 
     ``und`` with score 0 and rejected: null texts, texts without a letter, or a model without centroids. ``score`` is the
     cosine to the closest centroid (0 to 1). A text that is too far away keeps its closest language and is ``rejected``.
@@ -131,24 +145,26 @@ def predict(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array(model.langs or ["und"], object)
         for batch in batches:
-            texts = batch.column(1)
-            for first, last, data, offsets in chunks(texts):
-                total = np.concatenate([[0], np.cumsum(_LETTER[_SIGN[data]])])
-                has = total[offsets[1:]] > total[offsets[:-1]]
-                for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
-                    has[k] = bool(_ANY_LETTER.search(texts[first + int(k)].as_py()))
-                has &= len(model.langs) > 0
-                best, score = model.nearest(gram_counts(data, offsets)) if model.langs else (np.zeros(last - first, int), np.zeros(last - first))
-                lang, score = np.where(has, names[best], "und"), np.where(has, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~has | (score < reject_cosine))], names=["doc_id", "lang_pred", "score", "rejected"])
+            for first, last, lang, score, rejected in _judged(batch.column(1), shared.value, reject_cosine):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: CentroidModel, text_col: str = "text", reject_cosine: float = REJECT_COSINE) -> DataFrame:
+    """The rows of ``docs`` that ``predict`` wouldn't reject, all columns unchanged; no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [~rejected for *_, rejected in _judged(batch.column(at), shared.value, reject_cosine)]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
