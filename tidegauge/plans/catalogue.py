@@ -107,15 +107,14 @@ _add("view_cpu", _g(views.cpu), f"WITH {_GAUGES}, named AS (SELECT * FROM (SELEC
 _add("view_network", _c(views.network), f"WITH {_COUNTERS}, d AS (SELECT series, event_id, counter, counter - lag(counter) OVER w AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM counters WINDOW w AS (PARTITION BY series ORDER BY event_id)), r AS (SELECT series, event_id, counter, {_rate.format(per='3600000.0::DOUBLE')} FROM d), m AS (SELECT *, max(rate) OVER (PARTITION BY series ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS peak FROM r QUALIFY row_number() OVER (PARTITION BY series ORDER BY event_id DESC) = 1) SELECT series, rate, peak, {_bytes_sql('counter')} AS total, CASE WHEN counter >= 1e9 THEN counter / 1e9::DOUBLE WHEN counter >= 1e6 THEN counter / 1e6::DOUBLE WHEN counter >= 1e3 THEN counter / 1e3::DOUBLE ELSE counter::DOUBLE END AS scaled, rate / 1048576::DOUBLE AS mega FROM m")
 
 # --- functions ------------------------------------------------------------------------------------------------------
-_v = F.col("value")
 _add("format_bytes", _p(lambda p: p.select("pid", fmt.format_bytes(F.col("memory")).alias("size"), fmt.format_bytes(F.col("pid")).alias("small"), fmt.format_bytes(F.col("memory") * 1_000_003).alias("large"), fmt.zero_padded(F.col("threads")).alias("padded"))), f"WITH {_PROC} SELECT pid, {_bytes_sql('memory')} AS size, {_bytes_sql('pid')} AS small, {_bytes_sql('(memory * 1000003)')} AS large, CASE WHEN threads < 10 THEN '0' ELSE '' END || threads::VARCHAR AS padded FROM proc")
 _add("format_number", _p(lambda p: p.select("pid", fmt.scaled_number(F.col("memory") * F.col("threads")).alias("s")).select("pid", "s.value", "s.suffix")), f"WITH {_PROC}, n AS (SELECT pid, memory * threads AS n FROM proc) SELECT pid, CASE WHEN n >= 1e9 THEN n / 1e9::DOUBLE WHEN n >= 1e6 THEN n / 1e6::DOUBLE WHEN n >= 1e3 THEN n / 1e3::DOUBLE ELSE n::DOUBLE END AS value, CASE WHEN n >= 1e9 THEN 'B' WHEN n >= 1e6 THEN 'M' WHEN n >= 1e3 THEN 'K' ELSE '' END AS suffix FROM n")
 _add("truncate_name", lambda s, d: tables.table(s, d, "customer").select("c_custkey", fmt.truncate(F.col("c_name"), 12).alias("cut"), fmt.truncate(F.col("c_name"), 20).alias("uncut"), fmt.truncate(F.col("c_name"), 3).alias("tiny")), "SELECT c_custkey, CASE WHEN length(c_name) <= 12 THEN c_name ELSE substring(c_name, 1, 9) || '...' END AS cut, c_name AS uncut, c_name AS tiny FROM customer")
-_add("bar_cells", _g(lambda g: g.select("event_id", fmt.bar_cells(_v, 500.0, 20).alias("cells"), fmt.bar(_v, 300.0, 12).alias("bar"), fmt.percent_of(_v, 0.0).alias("percent"))), "WITH c AS (SELECT event_id, value, least(floor(12.0::DOUBLE * (least(greatest(value / 300.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 12)::INTEGER AS k FROM events) SELECT event_id, least(floor(20.0::DOUBLE * (least(greatest(value / 500.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 20)::INTEGER AS cells, repeat('▓', k) || repeat('░', 12 - k) AS bar, least(greatest(value / 1.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS percent FROM c")
+_add("bar_cells", _g(lambda g: g.select("event_id", fmt.bar_cells(F.col("value"), 500.0, 20).alias("cells"), fmt.bar(F.col("value"), 300.0, 12).alias("bar"), fmt.percent_of(F.col("value"), 0.0).alias("percent"))), "WITH c AS (SELECT event_id, value, least(floor(12.0::DOUBLE * (least(greatest(value / 300.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 12)::INTEGER AS k FROM events) SELECT event_id, least(floor(20.0::DOUBLE * (least(greatest(value / 500.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 20)::INTEGER AS cells, repeat('▓', k) || repeat('░', 12 - k) AS bar, least(greatest(value / 1.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS percent FROM c")
 for _name, _scale_of in (("temp_label", levels.TEMP_LABEL), ("temp_status", levels.TEMP_STATUS), ("temp_color", levels.TEMP_COLOR), ("cpu_color", levels.CPU_COLOR), ("mem_color", levels.MEMORY_COLOR), ("live_cpu_color", levels.LIVE_CPU_COLOR), ("live_mem_color", levels.LIVE_MEMORY_COLOR)):
-    _add(_name, _g(lambda g, n=_name, s=_scale_of: g.select("event_id", levels.level(_v, s).alias(n))), f"SELECT event_id, {_level_sql('value', _scale_of)} AS {_name} FROM events")
+    _add(_name, _g(lambda g, n=_name, s=_scale_of: g.select("event_id", levels.level(F.col("value"), s).alias(n))), f"SELECT event_id, {_level_sql('value', _scale_of)} AS {_name} FROM events")
 _add("temp_estimates", _g(lambda g: derived.temperature_estimates(g, "value").select("event_id", "package", "cores", "gpu", "ane", "battery", "ambient", "fan_rpm", "fan_mode", "available")), "SELECT event_id, 35 + value * 0.5::DOUBLE AS package, 35 + value * 0.5::DOUBLE + 2 AS cores, 35 + value * 0.3::DOUBLE AS gpu, 35 + value * 0.2::DOUBLE AS ane, 38.0::DOUBLE AS battery, 22.0::DOUBLE AS ambient, (2000 + trunc(value * 40)::INTEGER)::INTEGER AS fan_rpm, 'Auto' AS fan_mode, true AS available FROM events")
-_add("temp_f", _g(lambda g: g.select("event_id", fmt.in_unit(_v, F.when(F.col("core") == "view", "F").otherwise("C")).alias("degrees"), fmt.format_temperature(_v, "F").alias("text"))), "SELECT event_id, CASE WHEN event_type = 'view' THEN value * 9 / 5 + 32 ELSE value END AS degrees, round_even(value * 9 / 5 + 32, 0)::BIGINT::VARCHAR || '°F' AS text FROM events")
+_add("temp_f", _g(lambda g: g.select("event_id", fmt.in_unit(F.col("value"), F.when(F.col("core") == "view", "F").otherwise("C")).alias("degrees"), fmt.format_temperature(F.col("value"), "F").alias("text"))), "SELECT event_id, CASE WHEN event_type = 'view' THEN value * 9 / 5 + 32 ELSE value END AS degrees, round_even(value * 9 / 5 + 32, 0)::BIGINT::VARCHAR || '°F' AS text FROM events")
 _add("view_temperature", _g(views.temperature), f"WITH {_GAUGES}, u AS (SELECT series, arg_max(value, event_id) % 100 AS usage FROM gauges GROUP BY series), t AS (SELECT *, 35 + usage * 0.5::DOUBLE AS package FROM u) SELECT series, usage, package, package + 2 AS cores, 35 + usage * 0.3::DOUBLE AS gpu, 35 + usage * 0.2::DOUBLE AS ane, (2000 + trunc(usage * 40)::INTEGER)::INTEGER AS fan_rpm, {_level_sql('package', levels.TEMP_LABEL)} AS label, {_level_sql('package', levels.TEMP_STATUS)} AS status, {_level_sql('package', levels.TEMP_COLOR)} AS color, round_even(package, 0)::BIGINT::VARCHAR || '°C' AS text FROM t")
 _add("memory_derived", lambda s, d: derived.memory_derived(tables.memory_samples(s, d)), f"WITH {_MEM} SELECT *, CASE WHEN total > 0 THEN used::DOUBLE / total * 100 END AS pressure, greatest(total - used - free, 0) AS cache, used AS app, 0::BIGINT AS wired, 0::BIGINT AS compressed, 0::BIGINT AS purgeable, CASE WHEN swap_total > 0 THEN swap_used::DOUBLE / swap_total * 100 ELSE 0.0::DOUBLE END AS swap_percent FROM mem")
 _add("view_memory", lambda s, d: views.memory(tables.memory_samples(s, d)), f"WITH {_MEM}, m AS (SELECT *, CASE WHEN total > 0 THEN used::DOUBLE / total * 100 END AS pressure FROM mem) SELECT sample_id, pressure, greatest(total - used - free, 0) AS cache, used AS app, CASE WHEN swap_total > 0 THEN swap_used::DOUBLE / swap_total * 100 ELSE 0.0::DOUBLE END AS swap_percent, {_level_sql('coalesce(pressure, 0)', levels.LIVE_MEMORY_COLOR)} AS color, {_bytes_sql('used')} AS used_text, least(floor(20.0::DOUBLE * (least(greatest(coalesce(pressure, 0) / 100.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 20)::INTEGER AS cells FROM m")
