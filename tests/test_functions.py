@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import derived, formatting as fmt, levels
 from tidegauge.operators import safety, selection, series, snapshot
-from tidegauge.plans import views
+from tidegauge.plans import render, views
 from tidegauge.sources.settings import INTERVALS, Settings
 from tidegauge.sources.tables import CRITICAL, PROTECTED, process_class
 
@@ -179,3 +179,10 @@ def test_process_table_filters(spark):
     chosen = spark.createDataFrame([(200,)], "pid long")
     got = views.process_table(df, chosen, show_system=False, text="EDI", most=5).collect()
     assert [(r.pid, r.name, r.memory, r.net_io) for r in got] == [(200, "▶ Editor", "2.0 KB", "2.0 KB")]
+
+
+def test_render(spark):
+    assert render.text_table(spark.createDataFrame([(1, 0.25, None), (20, 2.0, "x")], "a int, b double, c string")) == "a   b    c\n1   0.2\n20  2.0  x"
+    chart = render.sparkline([0, 2, 4, 5, 7], 5).split("\n")
+    assert len(chart) == 5 and chart[-1].strip() and not chart[0].strip()
+    assert render.gauge("▓░", percent=50.0) == "▓░  50.0%" and render.gauge("▓░", value=3.0, unit="W") == "▓░    3.0W"

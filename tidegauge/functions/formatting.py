@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 FILLED, EMPTY = "▓", "░"
@@ -86,6 +88,11 @@ def bar(value: Column, most: float = 100.0, width: int = 20) -> Column:
     return F.concat(F.repeat(F.lit(FILLED), cells), F.repeat(F.lit(EMPTY), F.lit(width) - cells))
 
 
+def colored_gauge(value: Column, color: Callable[[Column], Column], most: float = 100.0, width: int = 20) -> Column:
+    """struct(bar, percent, color): a gauge whose colour any function of the raw value chooses."""
+    return F.struct(bar(value, most, width).alias("bar"), percent_of(value, most).alias("percent"), color(value).alias("color"))
+
+
 def fahrenheit(celsius: Column) -> Column:
     return celsius * 9 / 5 + 32
 

@@ -95,6 +95,14 @@ def chart_levels(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return df.withColumns({"__low": low, "__high": high}).withColumn("level", chart_level(F.col(value), F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
+def shared_chart_levels(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with level: the height of each value on one scale for all series; only the two ends of the scale are broadcast."""
+    low, high = chart_scale(F.col("__min"), F.col("__max"))
+    ends = df.agg(F.min(value).alias("__min"), F.max(value).alias("__max")).select(low.alias("__low"), high.alias("__high"))
+    placed = df.join(F.broadcast(ends), F.lit(True))
+    return placed.withColumn("level", chart_level(F.col(value), F.col("__low"), F.col("__high"))).drop("__low", "__high")
+
+
 def positional_max(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Two histories joined by key and idx; a missing side is 0; peak is the larger."""
     left, right = a.select(*key, F.col(value).alias("__a")), b.select(*key, F.col(value).alias("__b"))

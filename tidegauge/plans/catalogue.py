@@ -103,6 +103,7 @@ _add("history_zip_max", _g(lambda g: series.positional_max(series.history(g.wher
 _scale = "CASE WHEN hi - lo > 0 THEN lo - (hi - lo) * 0.05::DOUBLE ELSE 0.0::DOUBLE END AS l, CASE WHEN hi - lo > 0 THEN hi + (hi - lo) * 0.05::DOUBLE ELSE 1.0::DOUBLE END AS h"
 _level = "least(greatest(trunc((value - l) / (CASE WHEN h = l THEN 1.0::DOUBLE ELSE h - l END) * 8)::INTEGER, 0), 8) AS level"
 _add("spark_levels", _g(lambda g: series.chart_levels(series.history(g, ["series"], ["event_id"]), ["series"], "value").select("series", "idx", "level")), f"WITH {_GAUGES}, {_HIST}, s AS (SELECT *, min(value) OVER (PARTITION BY series) AS lo, max(value) OVER (PARTITION BY series) AS hi FROM hist), r AS (SELECT *, {_scale} FROM s) SELECT series, idx, {_level} FROM r")
+_add("shared_spark_levels", _g(lambda g: series.shared_chart_levels(series.history(g, ["series"], ["event_id"]), "value").select("series", "idx", "level")), f"WITH {_GAUGES}, {_HIST}, s AS (SELECT *, min(value) OVER () AS lo, max(value) OVER () AS hi FROM hist), r AS (SELECT *, {_scale} FROM s) SELECT series, idx, {_level} FROM r")
 _add("view_cpu", _g(views.cpu), f"WITH {_GAUGES}, named AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY core) - 1 AS core_id FROM gauges) WHERE core_id < 3), h AS (SELECT series, core, value, (max(back) OVER (PARTITION BY series, core) - back)::INTEGER AS idx FROM (SELECT *, row_number() OVER (PARTITION BY series, core ORDER BY event_id DESC) AS back FROM named) WHERE back <= 60), n AS (SELECT series, core, count(*) AS n FROM h GROUP BY ALL), down AS (SELECT h.series, h.core, b.j::INTEGER AS idx, max(h.value) AS value FROM h JOIN n USING (series, core) JOIN (SELECT unnest(range(0, 20)) AS j) b ON b.j < n.n WHERE CASE WHEN n.n <= 20 THEN h.idx = b.j ELSE h.idx >= floor(b.j * (n.n / 20.0::DOUBLE)) AND h.idx < floor((b.j + 1) * (n.n / 20.0::DOUBLE)) END GROUP BY ALL), s AS (SELECT *, min(value) OVER (PARTITION BY series, core) AS lo, max(value) OVER (PARTITION BY series, core) AS hi FROM down), r AS (SELECT *, {_scale} FROM s) SELECT series, core, idx, value, {_level} FROM r")
 _add("view_network", _c(views.network), f"WITH {_COUNTERS}, d AS (SELECT series, event_id, counter, counter - lag(counter) OVER w AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM counters WINDOW w AS (PARTITION BY series ORDER BY event_id)), r AS (SELECT series, event_id, counter, {_rate.format(per='3600000.0::DOUBLE')} FROM d), m AS (SELECT *, max(rate) OVER (PARTITION BY series ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS peak FROM r QUALIFY row_number() OVER (PARTITION BY series ORDER BY event_id DESC) = 1) SELECT series, rate, peak, {_bytes_sql('counter')} AS total, CASE WHEN counter >= 1e9 THEN counter / 1e9::DOUBLE WHEN counter >= 1e6 THEN counter / 1e6::DOUBLE WHEN counter >= 1e3 THEN counter / 1e3::DOUBLE ELSE counter::DOUBLE END AS scaled, rate / 1048576::DOUBLE AS mega FROM m")
 
@@ -111,6 +112,7 @@ _add("format_bytes", _p(lambda p: p.select("pid", fmt.format_bytes(F.col("memory
 _add("format_number", _p(lambda p: p.select("pid", fmt.scaled_number(F.col("memory") * F.col("threads")).alias("s")).select("pid", "s.value", "s.suffix")), f"WITH {_PROC}, n AS (SELECT pid, memory * threads AS n FROM proc) SELECT pid, CASE WHEN n >= 1e9 THEN n / 1e9::DOUBLE WHEN n >= 1e6 THEN n / 1e6::DOUBLE WHEN n >= 1e3 THEN n / 1e3::DOUBLE ELSE n::DOUBLE END AS value, CASE WHEN n >= 1e9 THEN 'B' WHEN n >= 1e6 THEN 'M' WHEN n >= 1e3 THEN 'K' ELSE '' END AS suffix FROM n")
 _add("truncate_name", lambda s, d: tables.table(s, d, "customer").select("c_custkey", fmt.truncate(F.col("c_name"), 12).alias("cut"), fmt.truncate(F.col("c_name"), 20).alias("uncut"), fmt.truncate(F.col("c_name"), 3).alias("tiny")), "SELECT c_custkey, CASE WHEN length(c_name) <= 12 THEN c_name ELSE substring(c_name, 1, 9) || '...' END AS cut, c_name AS uncut, c_name AS tiny FROM customer")
 _add("bar_cells", _g(lambda g: g.select("event_id", fmt.bar_cells(F.col("value"), 500.0, 20).alias("cells"), fmt.bar(F.col("value"), 300.0, 12).alias("bar"), fmt.percent_of(F.col("value"), 0.0).alias("percent"))), "WITH c AS (SELECT event_id, value, least(floor(12.0::DOUBLE * (least(greatest(value / 300.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 12)::INTEGER AS k FROM events) SELECT event_id, least(floor(20.0::DOUBLE * (least(greatest(value / 500.0::DOUBLE * 100, 0), 100) / 100.0::DOUBLE)), 20)::INTEGER AS cells, repeat('▓', k) || repeat('░', 12 - k) AS bar, least(greatest(value / 1.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS percent FROM c")
+_add("colored_gauge", _g(lambda g: g.select("event_id", fmt.colored_gauge(F.col("value"), lambda v: levels.level(v, levels.LIVE_CPU_COLOR), 400.0, 10).alias("g")).select("event_id", "g.*")), f"WITH c AS (SELECT event_id, value, least(greatest(value / 400.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS percent FROM events) SELECT event_id, repeat('▓', least(floor(10.0::DOUBLE * (percent / 100.0::DOUBLE)), 10)::INTEGER) || repeat('░', 10 - least(floor(10.0::DOUBLE * (percent / 100.0::DOUBLE)), 10)::INTEGER) AS bar, percent, {_level_sql('value', levels.LIVE_CPU_COLOR)} AS color FROM c")
 for _name, _scale_of in (("temp_label", levels.TEMP_LABEL), ("temp_status", levels.TEMP_STATUS), ("temp_color", levels.TEMP_COLOR), ("cpu_color", levels.CPU_COLOR), ("mem_color", levels.MEMORY_COLOR), ("live_cpu_color", levels.LIVE_CPU_COLOR), ("live_mem_color", levels.LIVE_MEMORY_COLOR)):
     _add(_name, _g(lambda g, n=_name, s=_scale_of: g.select("event_id", levels.level(F.col("value"), s).alias(n))), f"SELECT event_id, {_level_sql('value', _scale_of)} AS {_name} FROM events")
 _add("temp_estimates", _g(lambda g: derived.temperature_estimates(g, "value").select("event_id", "package", "cores", "gpu", "ane", "battery", "ambient", "fan_rpm", "fan_mode", "available")), "SELECT event_id, 35 + value * 0.5::DOUBLE AS package, 35 + value * 0.5::DOUBLE + 2 AS cores, 35 + value * 0.3::DOUBLE AS gpu, 35 + value * 0.2::DOUBLE AS ane, 38.0::DOUBLE AS battery, 22.0::DOUBLE AS ambient, (2000 + trunc(value * 40)::INTEGER)::INTEGER AS fan_rpm, 'Auto' AS fan_mode, true AS available FROM events")
