@@ -28,7 +28,7 @@ from tidegauge.llm.textbytes import chunks, fold_ascii, gram_hashes, mix64, span
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
-#: Rounds of testing between components before all remaining pairs are tested.
+#: Most rounds of testing between components before all remaining pairs are tested; a round without a link ends them too.
 HUB_ROUNDS = 6
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -207,6 +207,19 @@ def _tokens(text: pa.Scalar, k: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), k)[1]
 
 
+def _texts_of(joined: DataFrame, k: int) -> DataFrame:
+    """node, text of the rows whose text really has the node's set: an id that several texts share brings the others along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(0).to_numpy()
+            for first, last, data, offsets in chunks(batch.column(1)):
+                node = set_keys(*shingle_sets(data, offsets, k), last - first)[1]
+                yield batch.slice(first, last - first).filter(pa.array(node == wanted[first:last]))
+
+    return joined.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
@@ -214,33 +227,41 @@ def _few(ids: DataFrame) -> DataFrame:
 def linked_nodes(shared: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
     """node, component of all nodes of ``shared`` (signature, node), linked where sets are similar enough."""
     nodes = shared.select("node").distinct()
-    parts = materialise(nodes.withColumn("component", F.col("node")), "parts")
-    links, tested = None, None
-    for turn in range(rounds + 1):
-        placed = shared.join(parts, "node")
-        if turn < rounds:
-            # A component's envoy differs from signature to signature and from round to round.
-            envoys = placed.groupBy("signature", "component").agg(F.min_by("node", F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
-            lead = envoys.groupBy("signature").agg(F.min(F.struct("component", "envoy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("signature", "lead")
-            pairs = envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y"))
-        else:
-            open_groups = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
-            left = materialise(placed.join(open_groups, "signature"), "open")
-            right = left.select("signature", F.col("node").alias("other"), F.col("component").alias("its"))
-            pairs = left.join(right, "signature").where("component < its").select(F.col("node").alias("x"), F.col("other").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    parts, links, tested = nodes.withColumn("component", F.col("node")), None, None
+    for turn in range(rounds):
+        # A component's envoy differs from signature to signature and from round to round.
+        envoys = shared.join(parts, "node").groupBy("signature", "component").agg(F.min_by("node", F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
+        lead = envoys.groupBy("signature").agg(F.min(F.struct("component", "envoy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("signature", "lead")
+        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, k, percent), "links")
+        if not found.limit(1).count():
+            break
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        parts = _parts(nodes, links)
+    placed = materialise(shared.join(parts, "node"), "placed")
+    still = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
+    left = materialise(placed.join(still, "signature"), "open")
+    if left.limit(1).count():
+        right = left.select("signature", F.col("node").alias("other"), F.col("component").alias("its"))
+        pairs = _untested(left.join(right, "signature").where("component < its").select(F.col("node").alias("x"), F.col("other").alias("y")), tested)
+        found = materialise(verified(pairs, texts, k, percent), "links")
         if found.limit(1).count():
-            joined = connected_components(links)
-            parts = materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
-        elif turn < rounds and not pairs.limit(1).count():
-            break
+            parts = _parts(nodes, found if links is None else links.unionByName(found))
     return parts
 
 
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Each pair (a < b) once, without those of ``tested``."""
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    joined = connected_components(links)
+    return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links), one row per row of ``docs``.
 
@@ -254,7 +275,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = materialise(shared_signatures(texts, "text", k, percent), "signatures")
     met = shared.select("node").distinct()
     leaders = materialise(classes.join(met, "node").groupBy("node").agg(F.min("least").alias("doc_id")), "leaders")
-    held = materialise(texts.join(_few(leaders), "doc_id").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    held = materialise(_texts_of(texts.join(_few(leaders), "doc_id"), k), "texts")
     parts = linked_nodes(shared, held, k, percent)
     least = parts.join(leaders, "node").groupBy("component").agg(F.min("doc_id").alias("part_id"))
     named = materialise(classes.join(parts.join(least, "component").select("node", "part_id"), "node", "left").select("node", "half", F.coalesce("part_id", "least").alias("component_id")), "classes")
