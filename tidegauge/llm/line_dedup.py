@@ -19,33 +19,35 @@ def _lines(text_col: str) -> Column:
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, position, key: the MD5 of each run of ``window`` lines of each non-null text with an id."""
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _lines(text_col).alias("lines"))
+    """doc_id, short (a hash of the text), position, key: the MD5 of each run of ``window`` lines of each non-null text with an id."""
+    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("short"), _lines(text_col).alias("lines"))
     key = lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, window), "\n").cast("binary")))
-    return lines.where(F.size("lines") >= window).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), key)).alias("position", "key"))
+    return lines.where(F.size("lines") >= window).select("doc_id", "short", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), key)).alias("position", "key"))
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """doc_id, positions (sorted): the windows of each document whose key stands earlier, there or in another document."""
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.max(F.struct("doc_id", "position")).alias("last")).where("first != last").select("key", "first")
-    later = windows.join(first, "key").where(F.struct("doc_id", "position") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    """doc_id, short, positions (sorted): the windows of each text whose key stands earlier, there or in another document."""
+    place = F.struct("doc_id", "position", "short")
+    first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("key", "first")
+    later = windows.join(first, "key").where(place != F.col("first"))
+    return later.groupBy("doc_id", "short").agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``__n_lines`` and ``__n_removed``; one row per row.
 
     A null text stays null with 0 lines; an empty text is one empty line. Texts of fewer than ``window`` lines don't change.
-    Rows without an id neither remove nor lose anything. Rows that repeat an id count as one document. A text that loses
+    Rows without an id neither remove nor lose anything. Rows that repeat id and text are one document; of rows that repeat
+    an id with other texts, which is earlier is decided by a hash. A text that loses
     every line becomes empty. Columns other than the id and the text pass through.
     """
     later = later_windows(materialise(line_windows(docs, id_col, text_col, window), "line-windows"))
-    later = later.select(F.col("doc_id").alias("__id"), F.col("positions").alias("__cut"))
+    later = later.select(F.col("doc_id").alias("__id"), F.col("short").alias("__short"), F.col("positions").alias("__cut"))
     lines = _lines(text_col)
     starts = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda p: p + window))
     ends = F.concat("__cut", F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("__lines", a + 1, F.greatest(b - a, F.lit(0)))))
-    joined = docs.join(later, docs[id_col] == later["__id"], "left").withColumn("__lines", lines)
+    joined = docs.join(later, (docs[id_col] == later["__id"]) & (F.xxhash64(docs[text_col]) == later["__short"]), "left").withColumn("__lines", lines)
     cut = joined.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
     columns = [F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     n_lines = F.coalesce(F.size("__lines"), F.lit(0))

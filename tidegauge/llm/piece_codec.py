@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegauge.llm.textbytes import chunks
+
 MARK = "▁"
-#: Words a worker remembers before it starts anew, and texts whose new words are merged together.
-CACHE_WORDS, TEXTS_A_ROUND = 200_000, 256
+#: Words a worker remembers before it starts anew, and bytes of texts whose new words are merged together.
+CACHE_WORDS, ROUND_BYTES = 200_000, 1 << 20
 
 
 class PieceModel:
@@ -206,8 +208,8 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         codec = Codec(PieceModel(*parts.value))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
-            for at in range(0, len(whole), TEXTS_A_ROUND):
-                batch = whole.slice(at, TEXTS_A_ROUND)
+            for first, last, *_ in chunks(whole.column(1), ROUND_BYTES):
+                batch = whole.slice(first, last - first)
                 out: list[list] = [[] for _ in range(5)]
                 for ids, decoded in codec.run([t or "" for t in batch.column(1).to_pylist()]):
                     for column, value in zip(out, (ids.count(",") + 1 if ids else 0, sha(ids), sha(decoded), [*map(int, ids.split(","))] if with_ids and ids else [], decoded if with_ids else ""), strict=True):

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 TABLE_ENTRIES, ENTRY_BYTES, SAMPLE_DOCS = 60_000, 64, 400
 #: Entries a worker caches beyond tier 1 before it starts anew.
 CACHE_ENTRIES = 300_000
+#: Code points from which on a text's pre-tokens aren't listed at once.
+LONG_TEXT = 1 << 20
 
 
 def _ranges(keep) -> str:
@@ -112,12 +114,16 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, frequent = shared.value
         tokenizer = _open(spec)
-        table, split = LengthTable(frequent, tokenizer), pre_token_pattern().findall
+        table, pattern = LengthTable(frequent, tokenizer), pre_token_pattern()
+
+        def pieces(part: str):
+            """The pre-tokens: at once, or one by one for a very long text."""
+            return pattern.findall(part) if len(part) < LONG_TEXT else (m[0] for m in pattern.finditer(part))
 
         def tokens(text: str) -> int:
             try:
                 parts = cut.split(text) if cut and any(s in text for s in special) else (text,)
-                return sum(sum(map(table.__getitem__, split(part))) for part in parts) + len(parts) - 1
+                return sum(sum(map(table.__getitem__, pieces(part))) for part in parts) + len(parts) - 1
             except _Unassigned:
                 return len(tokenizer.encode(text, add_special_tokens=False).ids)
 
