@@ -188,25 +188,21 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int
     one, other = texts.select(F.col("node").alias("a"), F.col("text").alias("__a")), texts.select(F.col("node").alias("b"), F.col("text").alias("__b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = lambda row, token: mix64(token ^ mix64(row.astype(np.uint64) + np.uint64(1)))
         for batch in batches:
-            keep = []
-            last, held = None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, held = a, _tokens(x, k)
-                mine = _tokens(y, k)
-                common = len(np.intersect1d(held, mine, assume_unique=True))
-                keep.append(100 * common >= percent * (len(held) + len(mine) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            for first, last, data, offsets in chunks(batch.column(3)):
+                part = batch.slice(first, last - first)
+                row, token = shingle_sets(data, offsets, k)
+                held = [(r + at, t) for at, end, d, o in chunks(part.column(2)) for r, t in [shingle_sets(d, o, k)]]
+                other_row, other_token = (np.concatenate(x) for x in zip(*held, strict=True))
+                common = np.bincount(row[np.isin(code(row, token), code(other_row, other_token))], minlength=len(part))
+                either = np.bincount(row, minlength=len(part)) + np.bincount(other_row, minlength=len(part)) - common
+                keep = (common > 0) & (100 * common >= percent * either)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], names=["a", "b"])
 
     return pairs.join(other, "b").join(one, "a").select("a", "b", "__a", "__b").mapInArrow(run, "a long, b long")
 
 
-def _tokens(text: pa.Scalar, k: int) -> np.ndarray:
-    data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]), k)[1]
-
-
 def _texts_of(joined: DataFrame, k: int) -> DataFrame:
     """node, text of the rows whose text really has the node's set: an id that several texts share brings the others along."""
 
