@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.scratch import materialise
@@ -32,6 +32,9 @@ SHINGLE, PERCENT = 4, 85
 HUB_ROUNDS = 6
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 #: What a chance meeting on a segment without common tokens costs, in signatures.
 MEETING_COST = 1e6
 
@@ -111,6 +114,23 @@ def set_keys(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, *(np.where(size > 0, h, 0).view(np.int64) for h in halves)
 
 
+def parity_sketches(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
+    """rows x SKETCH_WORDS: of the tokens that fall on each bit, whether they are odd in number.
+
+    Each token in which two sets differ turns one bit, so they differ in no fewer tokens than their sketches in bits.
+    """
+    bits = 64 * SKETCH_WORDS
+    count = np.bincount(row * bits + ((token >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=rows * bits)
+    return np.packbits((count & 1).astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
+
+
+def _may_link(n: str, m: str, s: list[str], t: list[str], percent: int) -> Column:
+    """Whether two sets can be similar enough by their sizes and sketches; exact: no pair that links fails it."""
+    n, m = F.col(n), F.col(m)
+    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(s, t, strict=True)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
 def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of each set, for its own band and for the band below where a smaller partner can stand there."""
     plan = bands(percent)
@@ -148,15 +168,17 @@ def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: in
 
 
 def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node, half: each document's set size and the two halves of its set's hash."""
+    """doc_id, n_shingles, node, half, s0, ...: each document's set size, the two halves of its set's hash, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(1)):
-                size, a, b = set_keys(*shingle_sets(data, offsets, k), last - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_shingles", "node", "half"])
+                found = shingle_sets(data, offsets, k)
+                size, a, b = set_keys(*found, last - first)
+                sketch = [pa.array(np.ascontiguousarray(c)) for c in parity_sketches(*found, last - first).T]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(a), pa.array(b), *sketch], names=["doc_id", "n_shingles", "node", "half", *SKETCH])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long, half long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long, half long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def shared_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -220,42 +242,71 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def linked_nodes(shared: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
-    """node, component of all nodes of ``shared`` (signature, node), linked where sets are similar enough."""
+def linked_nodes(shared: DataFrame, marks: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """node, component of all nodes of ``shared`` (signature, node), linked where sets are similar enough.
+
+    ``marks`` has each node's size and sketch, by which most pairs that can't link are left out before texts are fetched.
+    """
     nodes = shared.select("node").distinct()
     parts, links, tested = nodes.withColumn("component", F.col("node")), None, None
     for turn in range(rounds):
         # A component's envoy differs from signature to signature and from round to round.
         envoys = shared.join(parts, "node").groupBy("signature", "component").agg(F.min_by("node", F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
         lead = envoys.groupBy("signature").agg(F.min(F.struct("component", "envoy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("signature", "lead")
-        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested)
+        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested, marks, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, k, percent), "links")
         if not found.limit(1).count():
             break
         links = found if links is None else links.unionByName(found)
-        parts = _parts(nodes, links)
+        parts = _merged(parts, found)
     placed = materialise(shared.join(parts, "node"), "placed")
     still = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
-    left = materialise(placed.join(still, "signature"), "open")
+    left = materialise(placed.join(still, "signature").join(marks, "node"), "open")
     if left.limit(1).count():
-        right = left.select("signature", F.col("node").alias("other"), F.col("component").alias("its"))
-        pairs = _untested(left.join(right, "signature").where("component < its").select(F.col("node").alias("x"), F.col("other").alias("y")), tested)
+        theirs = [f"t{i}" for i in range(SKETCH_WORDS)]
+        right = left.select("signature", F.col("node").alias("y"), F.col("component").alias("its"), F.col("n").alias("m"), *(F.col(a).alias(b) for a, b in zip(SKETCH, theirs, strict=True)))
+        met = left.withColumnRenamed("node", "x").join(right, "signature").where((F.col("component") < F.col("its")) & _may_link("n", "m", SKETCH, theirs, percent))
+        pairs = _untested(met.select("x", "y"), tested)
         found = materialise(verified(pairs, texts, k, percent), "links")
-        if found.limit(1).count():
-            parts = _parts(nodes, found if links is None else links.unionByName(found))
-    return parts
+        links = found if links is None else links.unionByName(found)
+    return parts if links is None else _joined(parts, links)
 
 
-def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Each pair (a < b) once, without those of ``tested``."""
+def _untested(pairs: DataFrame, tested: DataFrame | None, marks: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+    """Each pair (a < b) once, without those of ``tested`` and, given ``marks``, those that can't link."""
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if marks is not None:
+        theirs = [f"t{i}" for i in range(SKETCH_WORDS)]
+        other = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(d) for c, d in zip(SKETCH, theirs, strict=True)))
+        pairs = pairs.join(other, "b").join(marks.withColumnRenamed("node", "a"), "a").where(_may_link("n", "m", SKETCH, theirs, percent)).select("a", "b")
     return materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
-def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    joined = connected_components(links)
-    return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+def _component_links(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: the different components that ``links`` (a, b: nodes) join, a < b."""
+    one, other = parts.select(F.col("node").alias("a"), F.col("component").alias("x")), parts.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    return links.join(one, "a").join(other, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` after each component took the least one that it is linked with, and that one's least in turn.
+
+    Chains of links may need more rounds than this one; what stays apart is joined by ``_joined`` in the end.
+    """
+    lower = _component_links(parts, links).groupBy(F.col("b").alias("component")).agg(F.min("a").alias("into"))
+    beyond = lower.select(F.col("component").alias("into"), F.col("into").alias("beyond"))
+    lower = lower.join(beyond, "into", "left").select("component", F.coalesce("beyond", "into").alias("into"))
+    return materialise(parts.join(lower, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "parts")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` with all components joined that ``links`` connect."""
+    between = materialise(_component_links(parts, links), "between")
+    if not between.limit(1).count():
+        return parts
+    whole = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return materialise(parts.join(whole, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "parts")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -272,8 +323,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = shared.select("node").distinct()
     leaders = materialise(classes.join(met, "node").groupBy("node").agg(F.min("least").alias("doc_id")), "leaders")
     held = materialise(_texts_of(texts.join(_few(leaders), "doc_id"), k), "texts")
-    parts = linked_nodes(shared, held, k, percent)
+    marks = materialise(keys.join(met, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH)), "marks")
+    parts = linked_nodes(shared, marks, held, k, percent)
     least = parts.join(leaders, "node").groupBy("component").agg(F.min("doc_id").alias("part_id"))
     named = materialise(classes.join(parts.join(least, "component").select("node", "part_id"), "node", "left").select("node", "half", F.coalesce("part_id", "least").alias("component_id")), "classes")
-    out = keys.join(named, ["node", "half"], "left")
+    out = keys.drop(*SKETCH).join(named, ["node", "half"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
