@@ -29,7 +29,7 @@ from tidegauge.llm.textbytes import chunks, fold_ascii, gram_hashes, mix64, span
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
 #: Most rounds of testing between components before all remaining pairs are tested; a round without a link ends them too.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 2
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of a set's parity sketch.
