@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.llm import textbytes
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.scratch import materialise
-from tidegauge.llm.textbytes import chunks, fold_ascii, gram_hashes, mix64, span_hashes, words
+from tidegauge.llm.textbytes import fold_ascii, gram_hashes, mix64, span_hashes, words
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
@@ -32,6 +33,8 @@ SHINGLE, PERCENT = 4, 85
 HUB_ROUNDS = 2
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text that a Python worker takes at once; its arrays hold some forty bytes for each.
+CHUNK_BYTES = 1 << 18
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -50,6 +53,10 @@ class Band:
     spare: int
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    return textbytes.chunks(texts, CHUNK_BYTES)
+
+
 def _allocation(low: int, high: int, percent: int) -> Band:
     """The cheaper of single-worth segments, with spare ones if there are enough, and double-worth segments."""
     most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
