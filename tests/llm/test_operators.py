@@ -344,6 +344,33 @@ def test_language_id_edges(spark, nobody):
     assert unlearnt.where("lang_pred != 'und'").count() == 0
 
 
+UNKNOWN = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "c": 'for (int i = 0; i < n; i++) { struct node *p = malloc(sizeof(*p)); if (!p) return NULL; p->next = head; head = p; } printf("%d\\n", count);',
+}
+
+
+def test_unknown_languages_and_noise_are_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(df.where(~language_id.held_out()))
+    rng = random.Random(8)
+    noise = {name: "".join(rng.choice(signs) for _ in range(n)) for n in (200, 2000) for name, signs in ((f"hex {n}", "0123456789abcdef"), (f"base64 {n}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), (f"consonants {n}", "bcdfghjklmnpqrstvwxz   "))}
+    strange = spark.createDataFrame(list((UNKNOWN | noise).items()), "doc_id string, text string")
+    assert [r.doc_id for r in language_id.predict(strange, model).where("not rejected").collect()] == []
+    assert language_id.keep_known(strange, model).count() == 0
+    texts = [r.text for r in df.where(language_id.held_out() & (F.length("text") > 200)).select("text").collect()]
+    short = [" ".join(t.split()[5 : 5 + n]) for t in texts for n in (1, 2, 4, 8, 16)] + [r.text for r in df.where(language_id.held_out() & (F.length("text") <= 200)).collect()]
+    clean = spark.createDataFrame([(k, t) for k, t in enumerate(short) if sum(c.isalpha() for c in t) > 0.7 * len(t)], "doc_id long, text string")
+    assert clean.count() > 800 and language_id.predict(clean, model).where("rejected").count() < 0.02 * clean.count()
+
+
 # --- 9 personal data
 EMAIL, IP, CARD, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -3,27 +3,33 @@
 Every text is a vector of hashed 1-, 2- and 3-byte grams of its ASCII-lower-cased UTF-8 (digits and punctuation as one
 sign), damped, weighted by inverse document frequency and scaled to length 1. Each language has several centroids, found by
 spherical k-means over its training rows. A text gets the language of the closest centroid by cosine; one that is too far
-from every centroid is rejected.
+from every centroid is rejected. How far that is depends on the centroid and on how many letters a text has: it is learnt
+from the training rows and from pieces cut out of them.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.llm.scratch import materialise
 from tidegauge.llm.textbytes import chunks, fold_ascii
 
 #: Hashed dimensions (a power of two) and centroids a language.
 DIMENSIONS, CENTROIDS = 4096, 4
 #: Bound of the fit: training rows of each language, and languages.
 FIT_ROWS, FIT_LANGUAGES = 400, 64
-#: A text whose cosine to its closest centroid is under this is rejected.
+#: A text whose cosine to its closest centroid is under this is rejected, however short it is.
 REJECT_COSINE = 0.05
+#: Learnt bounds: powers of two of letter bytes, pieces of each length cut from a training row, the quantile of their cosines,
+#: the part of it that is the bound, and the pieces that a bound needs.
+LENGTHS, PIECES, REJECT_SHARE, MARGIN, LEAST_PIECES = 11, 2, 0.005, 0.85, 50
 
 _SIGN = fold_ascii(np.arange(256, dtype=np.uint8)).copy()
 for _low, _high in ((0x00, 0x41), (0x5B, 0x61), (0x7B, 0x80)):
@@ -62,11 +68,15 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class CentroidModel:
-    """idf: a weight for each dimension; centroids: one unit vector a row; langs: the language of each centroid."""
+    """idf: a weight for each dimension; centroids: one unit vector a row; langs: the language of each centroid.
+
+    floors: centroids x LENGTHS, the least cosine of a text by the power of two of its letter bytes.
+    """
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
+    floors: np.ndarray | None = None
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the closest centroid and the cosine to it, row by row."""
@@ -75,6 +85,53 @@ class CentroidModel:
         return best, np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
 
 
+def length_class(letters: np.ndarray) -> np.ndarray:
+    """The power of two of a count of letter bytes, at most LENGTHS - 1."""
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), LENGTHS - 1)
+
+
+def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(_SIGN[data] != 0x20)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def cut_pieces(text: str, pieces: int = PIECES) -> list[str]:
+    """The text and runs of its words of 1, 2, 4, ... bytes, from starts that the text itself decides."""
+    words, out = text.split(), [text]
+    size, seed = len(text.encode()), zlib.crc32(text.encode())
+    for n in (1 << k for k in range(LENGTHS)):
+        for turn in range(pieces if n < size else 0):
+            start = (seed + 7919 * turn + n) % max(len(words), 1)
+            piece = b""
+            for word in words[start : start + n]:
+                piece += (b" " if piece else b"") + word.encode()
+                if len(piece) >= n:
+                    out.append(piece[: 2 * n].decode(errors="ignore"))
+                    break
+    return out
+
+
+def learnt_floors(own: np.ndarray, length: np.ndarray, score: np.ndarray, centroids: int) -> np.ndarray:
+    """centroids x LENGTHS: MARGIN of a low quantile of the scores of each centroid's own pieces of a length.
+
+    It is never above that of all centroids' pieces, as a narrow centroid's pieces say nothing of mixed texts. Without
+    enough pieces of a length, it is that of the next shorter length: scores rise with the length.
+    """
+    out = np.zeros((centroids, LENGTHS))
+    for k in range(LENGTHS):
+        at = length == k
+        if at.sum() < LEAST_PIECES:
+            out[:, k] = out[:, k - 1] if k else 0.0
+            continue
+        out[:, k] = np.quantile(score[at], REJECT_SHARE)
+        for c in range(centroids):
+            mine = score[at & (own == c)]
+            if len(mine) >= LEAST_PIECES:
+                out[c, k] = min(out[c, k], np.quantile(mine, REJECT_SHARE))
+        out[:, k] *= MARGIN
+    return out
+
+
 def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from farthest-first seeds: unit centroids, at most ``k``; the same for the same vectors."""
     seeds = [int((vectors @ vectors.mean(axis=0)).argmax())]
@@ -100,7 +157,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     turn = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     picked = usable.select(id_col, lang_col).withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") <= rows)
     few = picked.select(id_col).orderBy(F.xxhash64(id_col)).limit(rows * FIT_LANGUAGES)
-    chosen = usable.select(id_col, lang_col, text_col).join(F.broadcast(few), id_col, "left_semi").select(lang_col, text_col)
+    chosen = materialise(usable.select(id_col, lang_col, text_col).join(F.broadcast(few), id_col, "left_semi").select(lang_col, text_col), "fit-rows")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +176,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         own = own[np.lexsort(own.T[:8])]
         parts.append(clustered(own, centroids))
         names += [lang] * len(parts[-1])
-    return CentroidModel(idf, np.concatenate(parts), names)
+    model = CentroidModel(idf, np.concatenate(parts), names)
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                for _, _, data, offsets in chunks(pa.array([p for p in cut_pieces(text.as_py()) if _ANY_LETTER.search(p)], pa.string())):
+                    own, score = shared.value.nearest(gram_counts(data, offsets))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(length_class(_letters(data, offsets)), pa.int32()), pa.array(score, pa.float32())], names=["own", "length", "score"])
+
+    seen = chosen.mapInArrow(distances, "own int, length int, score float").toPandas()
+    return replace(model, floors=learnt_floors(*(seen[c].to_numpy() for c in ("own", "length", "score")), len(names)))
 
 
 def _judged(texts: pa.Array, model: CentroidModel, reject_cosine: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,15 +200,17 @@ def _judged(texts: pa.Array, model: CentroidModel, reject_cosine: float) -> Iter
             has[k] = bool(_ANY_LETTER.search(texts[first + int(k)].as_py()))
         has &= len(model.langs) > 0
         best, score = model.nearest(gram_counts(data, offsets)) if model.langs else (np.zeros(last - first, int), np.zeros(last - first))
+        least = reject_cosine if model.floors is None else np.maximum(model.floors[best, length_class(_letters(data, offsets))], reject_cosine)
         score = np.where(has, score, 0.0)
-        yield first, last, np.where(has, names[best], "und"), score, ~has | (score < reject_cosine)
+        yield first, last, np.where(has, names[best], "und"), score, ~has | (score < least)
 
 
 def predict(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", reject_cosine: float = REJECT_COSINE) -> DataFrame:
     """doc_id, lang_pred, score, rejected: one row per row of ``docs``; other columns are not read.
 
     ``und`` with score 0 and rejected: null texts, texts without a letter, or a model without centroids. ``score`` is the
-    cosine to the closest centroid (0 to 1). A text that is too far away keeps its closest language and is ``rejected``.
+    cosine to the closest centroid (0 to 1). A text that is too far away keeps its closest language and is ``rejected``: under
+    the model's floor for its centroid and length, or under ``reject_cosine``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
