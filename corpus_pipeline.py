@@ -2,7 +2,7 @@
 
 1. Language ID: documents that are too far from every language's centroids, or hold no letter, go.
 2. Line dedup: later occurrences of three-line windows leave the texts; a text that loses every line goes.
-3. n-gram Jaccard join: of documents linked by similar 4-word shingle sets (85 %), the one with the least id stays.
+3. n-gram Jaccard join: of documents linked by similar 5-word shingle sets (80 %), the one with the least id stays.
 4. Benchmark decontamination: documents that hold a benchmark item within its error budget go.
 5. SentencePiece: every text is encoded and decoded; one row per document with digests of its ids and its decoded text.
 
@@ -24,6 +24,9 @@ from tidegauge.llm.line_dedup import dedup_lines
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.scratch import materialise
 
+#: Words of a shingle and least similarity in hundredths of the near-duplicate stage.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_known(docs, fit(docs.where(~held_out())))
@@ -39,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = similar_documents(docs)
+    found = similar_documents(docs, k=NEAR_SHINGLE, percent=NEAR_PERCENT)
     others = materialise(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     few = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from test_operators import cut_bytes, cut_windows, prose
+from test_operators import cut_bytes, cut_windows, groups_of, prose
 
 from tidegauge.llm.jaccard_join import similar_documents
 from tidegauge.llm.line_dedup import dedup_lines
@@ -46,6 +46,22 @@ def test_stages(spark, folder, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ids[4]
 
 
+def test_near_copies_of_five_words_and_eighty_percent(spark):
+    """Texts that lose 5-word shingles one by one: the stage keeps what brute force keeps, and not what 4 words and 85 % keep."""
+    rng, texts = random.Random(4), {}
+    for size in (40, 60, 90, 140, 220):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for changes in range(1 + size // 20):
+            words = list(base)
+            for k in range(changes):
+                words[size * (k + 1) // (changes + 1)] = f"v{len(texts)}x{k}"
+            texts[len(texts)] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    want, narrow = ({i for i, (_, least) in groups_of(texts, k, percent).items() if i == least} for k, percent in ((5, 80), (4, 85)))
+    assert got == want and got < narrow
+
+
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
