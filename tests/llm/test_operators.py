@@ -425,6 +425,27 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert all(r["added"] == 0 for i, r in got.items() if i != 40)
 
 
+def test_contexts_find_numbers_with_blanks(spark):
+    """A phone with too few digits and a grouped card that fails the checksum stand where their kinds always stand."""
+    rng = random.Random(11)
+
+    def card(good: bool) -> str:
+        while True:
+            digits = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+            if personal_data.passes_luhn(digits) == good:
+                return " ".join(digits[k : k + 4] for k in (0, 4, 8, 12))
+
+    phone = lambda n: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(10 ** (n - 1), 10**n)}"
+    texts = [f"{prose(rng, 5)} card-number: {card(True)} {prose(rng, 5)} call-me: {phone(4)} {prose(rng, 5)}" for _ in range(30)]
+    texts += [f"{prose(rng, 4)} serial {card(False)} {prose(rng, 3)} lot {phone(2)} {prose(rng, 3)}" for _ in range(10)]
+    hidden_card, hidden_phone = card(False), phone(2)
+    texts.append(f"{prose(rng, 5)} card-number: {hidden_card} {prose(rng, 5)} call-me: {hidden_phone} {prose(rng, 5)}")
+    got = rows_of(personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    places = [(texts[-1].index(v), kind, len(v)) for kind, v in (("card", hidden_card), ("phone", hidden_phone))]
+    assert got[40]["spans"] == ",".join(f"{kind}:{a}:{a + n}" for a, kind, n in places) and got[40]["base"] == "" and got[40]["added"] == 2
+    assert all(r["added"] == 0 and r["spans"] == r["base"] for i, r in got.items() if i != 40)
+
+
 # --- 10 decontamination
 def edit_distance(pattern: str, text: str) -> int:
     row = [0] * (len(text) + 1)

@@ -2,8 +2,8 @@
 
 The base patterns give seed entities. The words around seeds and around other identifier-like tokens are lexical patterns;
 Spark holds the graph of patterns and instances and scores it in rounds: a pattern is as good as the share of its distinct
-instances that are believed, an instance as good as its trusted patterns together. Tokens that trusted patterns vouch for,
-and that look like a seed of the kind, become further spans. Base spans always stay.
+instances that are believed, an instance as good as its trusted patterns together. Tokens and runs of numbers with blanks
+that trusted patterns vouch for, and that look like a seed of the kind, become further spans. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
+_RUN = re.compile(r"\+?\(?[0-9][\x20().0-9-]*[0-9]")
 _EDGE = ".,;:!?\"'()[]{}|<>#*$&%=-+"
 _MARKS = np.zeros(256, bool)
 _MARKS[[*range(0x30, 0x3A), 0x40]] = True
@@ -90,26 +91,52 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out + ([f"LR {left[-1]} {right[0]}"] if left and right else [])
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds (kind 0-3) and other tokens that look like identifiers (kind -1), with their contexts."""
-    out = [{"kind": kind, "start": a, "end": b, "value": text[a:b], "shape": shape(text[a:b]), "contexts": contexts(text, a, b)} for a, kind, b in spans]
-    taken = sorted((a, b) for a, _, b in spans)
-    k = 0
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what looks like an identifier and meets no base span, by start, outer ones first.
+
+    Tokens, maximal runs of digits, blanks, brackets, dots and hyphens, and what the card and phone patterns match but drop.
+    """
+    found = set()
     for m in _TOKEN.finditer(text):
         a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
-        b = m.end() - (len(m[0]) - len(m[0].rstrip(_EDGE)))
-        while k < len(taken) and taken[k][1] <= m.start():
+        found.add((a, m.end() - (len(m[0]) - len(m[0].rstrip(_EDGE))), m.start(), m.end()))
+    for pattern in (_RUN, _CARD, *([_PHONE] if "+" in text else [])):
+        found.update((m.start(), m.end(), m.start(), m.end()) for m in pattern.finditer(text))
+    taken, out, k = [], set(), 0
+    for a, _, b in sorted(spans):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    for a, b, first, last in sorted(found, key=lambda c: c[2]):
+        while k < len(taken) and taken[k][1] <= first:
             k += 1
-        if a < b and not (k < len(taken) and taken[k][0] < m.end()) and b - a <= 256:
+        if a < b and not (k < len(taken) and taken[k][0] < last) and b - a <= 256:
             value = text[a:b]
             if "@" in value or sum(c in "0123456789" for c in value) >= 4:
-                out.append({"kind": -1, "start": a, "end": b, "value": value, "shape": shape(value), "contexts": contexts(text, a, b)})
+                out.add((a, b))
+    return sorted(out, key=lambda c: (c[0], -c[1]))
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Seeds (kind 0-3) and other candidates (kind -1), with their contexts.
+
+    ``root`` is the start of the outermost candidate around one, ``inner`` lists the contexts that it shares with it.
+    """
+    out = [{"kind": kind, "start": a, "end": b, "value": text[a:b], "shape": shape(text[a:b]), "contexts": contexts(text, a, b), "root": a, "inner": []} for a, kind, b in spans]
+    root, until, around = -1, -1, []
+    for a, b in candidates(text, spans):
+        own = contexts(text, a, b)
+        inside = b <= until
+        if not inside:
+            root, until, around = a, b, own
+        out.append({"kind": -1, "start": a, "end": b, "value": text[a:b], "shape": shape(text[a:b]), "contexts": own, "root": root, "inner": [c for c in own if c in around] if inside else []})
     return out
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("shape", pa.string()), ("contexts", pa.list_(pa.string()))])
-_SCHEMA = "doc_id {}, text_key long, spans array<struct<start int, kind int, end int>>, mentions array<struct<kind int, start int, end int, value string, shape string, contexts array<string>>>"
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("shape", pa.string()), ("contexts", pa.list_(pa.string())), ("root", pa.int32()), ("inner", pa.list_(pa.string()))])
+_SCHEMA = "doc_id {}, text_key long, spans array<struct<start int, kind int, end int>>, mentions array<struct<kind int, start int, end int, value string, shape string, contexts array<string>, root int, inner array<string>>>"
 
 
 def base_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,15 +167,18 @@ def believed_values(mentioned: DataFrame, rounds: int = ROUNDS, min_support: int
     """value, kind: the instances beyond the seeds that trusted patterns vouch for, after ``rounds`` rounds.
 
     ``mentioned`` has kind (-1: no seed), value, shape, contexts. The graph holds each (pattern, value) once, so a value or
-    a context that stands in a third of all documents counts once.
+    a context that stands in a third of all documents counts once. A candidate inside another one doesn't count as a further
+    instance of the patterns that they share.
     """
-    edges = materialise(mentioned.select("value", "shape", F.explode("contexts").alias("pattern")).distinct(), "pii-edges")
+    marked = mentioned.select("value", "shape", "inner", F.explode("contexts").alias("pattern")).withColumn("inside", F.array_contains("inner", F.col("pattern")))
+    edges = materialise(marked.groupBy("value", "shape", "pattern").agg(F.min("inside").alias("inside")), "pii-edges")
+    counted = edges.where("not inside")
     seeds = materialise(mentioned.where("kind >= 0").select("value", "kind", "shape").distinct(), "pii-seeds")
     shapes = seeds.select("kind", "shape").distinct()
-    width = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
+    width = counted.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
     believed = seeds.select("value", "kind").distinct()
     for _ in range(rounds):
-        scored = edges.join(believed, "value").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= min_support)
+        scored = counted.join(believed, "value").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= min_support)
         trusted = scored.join(width, "pattern").withColumn("precision", F.col("support") / F.col("n")).where(F.col("precision") >= min_precision)
         doubt = F.sum(F.log(F.lit(1.0) - F.least(F.col("precision"), F.lit(0.999))))
         found = edges.join(trusted.select("pattern", "kind", "precision"), "pattern").join(shapes, ["kind", "shape"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= min_score)
@@ -162,12 +192,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base, spans, added: one row per row of ``docs``.
 
     ``base`` and ``spans`` list kind:start:end by start, then kind, in code points; ``added`` counts the spans beyond the
-    base. Null and empty texts have none. Rows with a null or repeated id are kept apart by their text.
+    base, of which none lies within another. Null and empty texts have none. Rows with a null or repeated id are kept apart by their text.
     """
     base = materialise(base_table(docs, id_col, text_col), "pii-base")
     mentioned = base.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
     extra = believed_values(mentioned).withColumnRenamed("kind", "new_kind")
-    more = mentioned.where("kind < 0").join(extra, "value").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("more"))
+    nested = mentioned.where("kind < 0").join(extra, "value").groupBy("doc_id", "text_key", "root").agg(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("near"))
+    outer = F.filter("near", lambda s: ~F.exists("near", lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
+    more = nested.withColumn("near", outer).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("near")).alias("more"))
     more = more.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "more")
     joined = base.drop("mentions").join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
     names = F.array(*map(F.lit, KINDS))
