@@ -181,6 +181,12 @@ def test_process_table_filters(spark):
     assert [(r.pid, r.name, r.memory, r.net_io) for r in got] == [(200, "▶ Editor", "2.0 KB", "2.0 KB")]
 
 
+def test_cpu_view_has_the_first_eight_cores(spark):
+    rows = [(k, "host", f"core{k % 10}", float(k)) for k in range(40)]
+    got = views.cpu(spark.createDataFrame(rows, "event_id long, series string, core string, value double")).select("core").distinct().collect()
+    assert sorted(r.core for r in got) == [f"core{k}" for k in range(8)]
+
+
 def test_render(spark):
     assert render.text_table(spark.createDataFrame([(1, 0.25, None), (20, 2.0, "x")], "a int, b double, c string")) == "a   b    c\n1   0.2\n20  2.0  x"
     chart = render.sparkline([0, 2, 4, 5, 7], 5).split("\n")

@@ -104,7 +104,9 @@ _scale = "CASE WHEN hi - lo > 0 THEN lo - (hi - lo) * 0.05::DOUBLE ELSE 0.0::DOU
 _level = "least(greatest(trunc((value - l) / (CASE WHEN h = l THEN 1.0::DOUBLE ELSE h - l END) * 8)::INTEGER, 0), 8) AS level"
 _add("spark_levels", _g(lambda g: series.chart_levels(series.history(g, ["series"], ["event_id"]), ["series"], "value").select("series", "idx", "level")), f"WITH {_GAUGES}, {_HIST}, s AS (SELECT *, min(value) OVER (PARTITION BY series) AS lo, max(value) OVER (PARTITION BY series) AS hi FROM hist), r AS (SELECT *, {_scale} FROM s) SELECT series, idx, {_level} FROM r")
 _add("shared_spark_levels", _g(lambda g: series.shared_chart_levels(series.history(g, ["series"], ["event_id"]), "value").select("series", "idx", "level")), f"WITH {_GAUGES}, {_HIST}, s AS (SELECT *, min(value) OVER () AS lo, max(value) OVER () AS hi FROM hist), r AS (SELECT *, {_scale} FROM s) SELECT series, idx, {_level} FROM r")
-_add("view_cpu", _g(views.cpu), f"WITH {_GAUGES}, named AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY core) - 1 AS core_id FROM gauges) WHERE core_id < 3), h AS (SELECT series, core, value, (max(back) OVER (PARTITION BY series, core) - back)::INTEGER AS idx FROM (SELECT *, row_number() OVER (PARTITION BY series, core ORDER BY event_id DESC) AS back FROM named) WHERE back <= 60), n AS (SELECT series, core, count(*) AS n FROM h GROUP BY ALL), down AS (SELECT h.series, h.core, b.j::INTEGER AS idx, max(h.value) AS value FROM h JOIN n USING (series, core) JOIN (SELECT unnest(range(0, 20)) AS j) b ON b.j < n.n WHERE CASE WHEN n.n <= 20 THEN h.idx = b.j ELSE h.idx >= floor(b.j * (n.n / 20.0::DOUBLE)) AND h.idx < floor((b.j + 1) * (n.n / 20.0::DOUBLE)) END GROUP BY ALL), s AS (SELECT *, min(value) OVER (PARTITION BY series, core) AS lo, max(value) OVER (PARTITION BY series, core) AS hi FROM down), r AS (SELECT *, {_scale} FROM s) SELECT series, core, idx, value, {_level} FROM r")
+# The SQL of view_cpu is fixed at 3 cores; view_cpu_8_cores is the view as the reference has it.
+_add("view_cpu", _g(lambda g: views.cpu(g, cores=3)), f"WITH {_GAUGES}, named AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY core) - 1 AS core_id FROM gauges) WHERE core_id < 3), h AS (SELECT series, core, value, (max(back) OVER (PARTITION BY series, core) - back)::INTEGER AS idx FROM (SELECT *, row_number() OVER (PARTITION BY series, core ORDER BY event_id DESC) AS back FROM named) WHERE back <= 60), n AS (SELECT series, core, count(*) AS n FROM h GROUP BY ALL), down AS (SELECT h.series, h.core, b.j::INTEGER AS idx, max(h.value) AS value FROM h JOIN n USING (series, core) JOIN (SELECT unnest(range(0, 20)) AS j) b ON b.j < n.n WHERE CASE WHEN n.n <= 20 THEN h.idx = b.j ELSE h.idx >= floor(b.j * (n.n / 20.0::DOUBLE)) AND h.idx < floor((b.j + 1) * (n.n / 20.0::DOUBLE)) END GROUP BY ALL), s AS (SELECT *, min(value) OVER (PARTITION BY series, core) AS lo, max(value) OVER (PARTITION BY series, core) AS hi FROM down), r AS (SELECT *, {_scale} FROM s) SELECT series, core, idx, value, {_level} FROM r")
+_add("view_cpu_8_cores", _g(views.cpu), ORACLE_SQL["view_cpu"].replace("core_id < 3", "core_id < 8"))
 _add("view_network", _c(views.network), f"WITH {_COUNTERS}, d AS (SELECT series, event_id, counter, counter - lag(counter) OVER w AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM counters WINDOW w AS (PARTITION BY series ORDER BY event_id)), r AS (SELECT series, event_id, counter, {_rate.format(per='3600000.0::DOUBLE')} FROM d), m AS (SELECT *, max(rate) OVER (PARTITION BY series ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS peak FROM r QUALIFY row_number() OVER (PARTITION BY series ORDER BY event_id DESC) = 1) SELECT series, rate, peak, {_bytes_sql('counter')} AS total, CASE WHEN counter >= 1e9 THEN counter / 1e9::DOUBLE WHEN counter >= 1e6 THEN counter / 1e6::DOUBLE WHEN counter >= 1e3 THEN counter / 1e3::DOUBLE ELSE counter::DOUBLE END AS scaled, rate / 1048576::DOUBLE AS mega FROM m")
 
 # --- functions ------------------------------------------------------------------------------------------------------

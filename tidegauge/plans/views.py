@@ -35,7 +35,7 @@ def overview(gauges: DataFrame, n: int = 8) -> DataFrame:
     return shown.orderBy(F.desc("value"), "series").limit(n)
 
 
-def cpu(gauges: DataFrame, cores: int = 3, width: int = 20) -> DataFrame:
+def cpu(gauges: DataFrame, cores: int = 8, width: int = 20) -> DataFrame:
     """Each series' history, downsampled to ``width`` points with chart levels, for its first ``cores`` cores."""
     named = gauges.withColumn("core_id", F.dense_rank().over(_by_core()) - 1).where(F.col("core_id") < cores)
     arrays = series.history_arrays(named, ["series", "core"], ["event_id"], "value")
