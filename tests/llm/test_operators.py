@@ -183,6 +183,27 @@ def test_substring_dedup(docs, corpus, nobody):
     assert substring_dedup.dedup_windows(nobody).count() == 0
 
 
+def test_counted_windows_are_those_of_greedy_factors():
+    """Each phrase parsed greedily into longest runs of windows that stand at another place of the block."""
+    rng = random.Random(21)
+    for _ in range(40):
+        block = [[rng.randrange(6) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))]
+        got = substring_dedup.factors([np.array(b, np.uint64) for b in block], [1] * len(block))
+        for p, phrase in enumerate(block):
+            covered, at = [False] * len(phrase), 0
+            while at < len(phrase):
+                longest = 0
+                for q, other in enumerate(block):
+                    for start in range(len(other)):
+                        n = 0
+                        while (q, start) != (p, at) and at + n < len(phrase) and start + n < len(other) and phrase[at + n] == other[start + n]:
+                            n += 1
+                        longest = max(longest, n)
+                covered[at : at + longest] = [True] * longest
+                at += max(longest, 1)
+            assert got[p].tolist() == covered
+
+
 def test_substring_dedup_of_repetitive_texts(spark):
     rng = random.Random(8)
     texts = {i: " ".join(rng.choice("ab") * rng.choice((1, 1, 2)) if i % 2 else rng.choice(("p", "q q")) for _ in range(rng.randint(30, 160))) for i in range(40)}

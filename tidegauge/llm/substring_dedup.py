@@ -1,10 +1,10 @@
-"""Removal of repeated word windows by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Removal of repeated word windows by counting window hashes in blocks of phrases with one anchor.
 
 The least hash of the 4-word grams of a window is its anchor: equal windows have equal anchors, whatever stands around
-them. A maximal run of windows with one anchor is a phrase. All phrases of an anchor form its reference block; a block's
-index holds the hashes of its windows. Each phrase is factored greedily against its block: a factor runs as long as the
-block has the next window, and the windows that begin in a factor's last words are looked up as well, so no match is lost
-at a factor's boundary. Factors of at least one window elsewhere in the block are duplicate spans.
+them. A maximal run of windows with one anchor is a phrase. All phrases of an anchor form its block. The windows whose hash
+a block holds more than once are duplicate spans. This is not relative Lempel-Ziv parsing: there are no factors with a
+reference position. All windows have one width, so the words in parsed factors of at least a window (with windows across
+factor boundaries looked up) are just the words in windows that occur twice, and a count finds these.
 
 Texts without a shared anchor leave after the first grouping. Equal texts are one text from the start, equal phrases one
 phrase, both by map-side aggregation, so copies add nothing to a block.
@@ -117,10 +117,9 @@ def _phrase_rows(touched: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def factors(block: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
-    """Which windows of each phrase of a reference block stand elsewhere in the block too.
+    """Which windows of each phrase of a block stand elsewhere in the block too, a phrase's own copies included.
 
-    The index is the block's window hashes with how often each occurs, a phrase's own number of copies included. A phrase
-    is parsed from left to right: its factors are the maximal runs that the index holds more than once.
+    Window hashes are counted; nothing is parsed into factors.
     """
     flat = np.concatenate(block)
     weight = np.repeat(np.array(counts, np.int64), [len(b) for b in block])
