@@ -211,6 +211,16 @@ def test_substring_dedup_of_repetitive_texts(spark):
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == cut_windows(texts)
 
 
+def test_large_blocks_are_counted_by_spark(spark, docs, corpus, monkeypatch):
+    """No block larger than the bound reaches a task that holds it whole, and rows stay the same."""
+    small = rows_of(substring_dedup.dedup_windows(docs))
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "_parse_blocks", lambda distinct: substring_dedup._parse_hot(distinct.where("false")))
+        assert rows_of(substring_dedup.dedup_windows(docs, block_bytes=0)) == small
+    assert rows_of(substring_dedup.dedup_windows(docs, block_bytes=200)) == small
+    assert {i: r["n_removed"] for i, r in small.items()} == {i: n for i, (_, n, *_) in cut_windows(dict(corpus)).items()}
+
+
 # --- 5 SentencePiece
 def test_piece_codec(docs, corpus, nobody):
     import sentencepiece

@@ -24,6 +24,8 @@ from tidegauge.llm.textbytes import chunks, gram_hashes, mix64, span_hashes, win
 
 #: Words of a window and of an anchor gram.
 WINDOW, GRAM = 35, 4
+#: Bytes of window hashes (copies included) of an anchor beyond which its windows are counted by Spark, not in one task.
+BLOCK_BYTES = 1 << 25
 #: Rows up to which a table of text keys is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -162,6 +164,34 @@ def _parse_blocks(distinct: DataFrame) -> DataFrame:
     return distinct.select("anchor", "phrase", "windows", "copies").mapInArrow(run, "anchor long, phrase long, marks binary")
 
 
+def _parse_hot(distinct: DataFrame) -> DataFrame:
+    """What ``_parse_blocks`` gives, for anchors with more phrases than a task should hold: windows counted by Spark.
+
+    Counts are aggregated before the shuffle and no task holds more than one phrase at a time.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, phrase, raw, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = np.frombuffer(raw, np.int64)
+                same = lambda v, n=len(held): pa.array(np.full(n, v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(anchor), same(phrase), pa.array(held), pa.array(np.arange(len(held), dtype=np.int32)), same(len(held)), same(copies)], names=["anchor", "phrase", "hash", "at", "n", "copies"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for n, places in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                bits = np.zeros(n, np.uint8)
+                bits[places.values.to_numpy()] = 1
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["anchor", "phrase", "marks"])
+
+    windows = distinct.select("anchor", "phrase", "windows", "copies").mapInArrow(split, "anchor long, phrase long, hash long, at int, n long, copies long")
+    repeated = windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor", "hash")
+    places = windows.join(repeated, ["anchor", "hash"]).groupBy("anchor", "phrase").agg(F.first("n").alias("n"), F.collect_list("at").alias("places"))
+    return places.select("anchor", "phrase", "n", "places").mapInArrow(packed, "anchor long, phrase long, marks binary")
+
+
 def _cut_texts(found: DataFrame, window: int) -> DataFrame:
     """key, n_removed, sha: what stays of each text. ``found``: key, text, spans (first, marks)."""
 
@@ -184,7 +214,7 @@ def _cut_texts(found: DataFrame, window: int) -> DataFrame:
     return found.select("key", "text", "spans").mapInArrow(run, "key binary, n_removed long, sha string")
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per row of ``docs``; copies of a text are repeated windows too.
 
     Words are runs without white space, unchanged. Null texts and texts of fewer than ``window`` words lose nothing. Null
@@ -203,7 +233,13 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     occurrences = materialise(_phrase_rows(touched, window, k), "phrases")
     distinct = occurrences.groupBy("anchor", "phrase").agg(F.first("windows").alias("windows"), F.count(F.lit(1)).alias("copies"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parsed = _parse_blocks(distinct.repartition(n, "anchor").sortWithinPartitions("anchor"))
+    hot = materialise(occurrences.groupBy("anchor").agg(F.sum(F.length("windows")).alias("bytes")).where(F.col("bytes") > block_bytes).select("anchor"), "hot-anchors")
+    if hot.limit(1).count():
+        few = F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hot
+        cold, rest = distinct.join(few, "anchor", "left_anti"), _parse_hot(distinct.join(few, "anchor", "left_semi"))
+        parsed = _parse_blocks(cold.repartition(n, "anchor").sortWithinPartitions("anchor")).unionByName(rest)
+    else:
+        parsed = _parse_blocks(distinct.repartition(n, "anchor").sortWithinPartitions("anchor"))
     spans = occurrences.select("key", "anchor", "phrase", "first").join(parsed, ["anchor", "phrase"]).groupBy("key").agg(F.collect_list(F.struct("first", "marks")).alias("spans"))
     cut = _cut_texts(touched.select("key", "text").join(spans, "key"), window)
     out = all_rows.join(cut, "key", "left").join(copies.where("rows > 1"), "key", "left")
