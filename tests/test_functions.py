@@ -190,5 +190,29 @@ def test_cpu_view_has_the_first_eight_cores(spark):
 def test_render(spark):
     assert render.text_table(spark.createDataFrame([(1, 0.25, None), (20, 2.0, "x")], "a int, b double, c string")) == "a   b    c\n1   0.2\n20  2.0  x"
     chart = render.sparkline([0, 2, 4, 5, 7], 5).split("\n")
-    assert len(chart) == 5 and chart[-1].strip() and not chart[0].strip()
-    assert render.gauge("▓░", percent=50.0) == "▓░  50.0%" and render.gauge("▓░", value=3.0, unit="W") == "▓░    3.0W"
+    assert len(chart) == 5 and chart[-1].strip()
+    assert render.gauge("▓░", percent=50.0) == "▓░  50.0%" and render.gauge("▓░", value=3.0, unit="W") == "▓░    3.0 W"
+
+
+def test_sparkline_fills_a_line_for_each_level():
+    """Five values between 10 and 50 at a height of 5: levels over 5 fill the column, a level of 2 fills two lines."""
+    assert render.sparkline([0, 2, 4, 5, 7], 5).split("\n") == ["   ▅▇", "  ▄▅▇", "  ▄▅▇", " ▂▄▅▇", " ▂▄▅▇"]
+    assert render.labelled_sparklines({"down": [0, 8], "": [4]}) == "       down:  █\n▄"
+
+
+@pytest.mark.parametrize("x", [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.25, 2.675, 9.95, 99.95, 123.45, 1e9 + 0.05, 0.3, 2.0 / 3])
+def test_fixed_rounds_the_binary_value(spark, x):
+    assert spark.range(1).select(fmt.fixed(F.lit(x))).first()[0] == f"{x:.1f}"
+
+
+def test_scratch_folder_on_a_cluster():
+    """Without a shared folder a session of several machines is an error."""
+    from types import SimpleNamespace
+
+    from tidegauge.shared import scratch_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(bare)
+    bare.conf = SimpleNamespace(get=lambda key, other: "hdfs://x/shared/")
+    assert scratch_dir(bare) == "hdfs://x/shared"

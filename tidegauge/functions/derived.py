@@ -16,7 +16,7 @@ def cache_bytes(total: Column, used: Column, free: Column) -> Column:
 
 
 def temperature_estimates(df: DataFrame, usage: str) -> DataFrame:
-    """Temperatures, fan speed and fan mode estimated from CPU usage, as the monitor does without sensors."""
+    """Temperatures, fan speed and fan mode estimated from CPU usage, for hosts without sensors."""
     u = F.col(usage)
     package = 35 + u * 0.5
     return df.withColumns({

@@ -26,6 +26,27 @@ def one_decimal(x: Column) -> Column:
     return F.concat(_text(whole), F.lit("."), _text(digit))
 
 
+def fixed(x: Column) -> Column:
+    """Exactly one decimal place, rounded from the number's binary value, ties to even, as C's "%.1f". For 0 <= x < 2 ** 49.
+
+    Ten times x is the sum of two exact products; what that sum loses by rounding decides where it looks like a tie.
+    """
+    eight, two = x * 8, x * 2
+    ten = eight + two
+    part = ten - eight
+    lost = (eight - (ten - part)) + (two - part)
+    low = F.floor(ten).cast("bigint")
+    over = ten - low - 0.5
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (low % 2 == 1))))
+    n = low + up.cast("bigint")
+    return F.concat(_text(F.floor(n / 10).cast("bigint")), F.lit("."), _text(n % 10))
+
+
+def left_padded(s: Column, width: int) -> Column:
+    """Blanks to the left up to ``width``; longer text stays whole."""
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(s), F.lit(0))), s)
+
+
 def whole(x: Column) -> Column:
     """Nearest whole number, halves up. For x >= 0."""
     return _text(F.floor(x + 0.5).cast("bigint"))

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.sources.tables import CRITICAL, IMPORTANT, PROTECTED, SYSTEM_USERS
 
+# The texts of warnings.
+PROTECTED_TEXT = "%s (PID %d) is a protected system process"
+SYSTEM_TEXT = "%s (PID %d) is a system process (root-owned)"
+SUDO_TEXT = "%s (PID %d) is owned by %s, may require elevated privileges"
+IMPORTANT_TEXT = "WARNING: %s is an important system service. Killing it may cause unexpected behavior."
+ROOT_TEXT = "CAUTION: This process is owned by root. Ensure you have a good reason to terminate it."
+FOREIGN_TEXT = "CAUTION: This process is owned by %s. You may not have permission to kill it."
+CRITICAL_TEXT = "CRITICAL: This is a core system process. Killing it may cause system instability or kernel panic."
+
 
 def _text(template: str, *columns: str) -> Column:
     return F.format_string(template, *columns)
@@ -31,21 +40,33 @@ def classified(df: DataFrame, me: str) -> DataFrame:
     system = ~protected & F.coalesce(F.col("user").isin(*SYSTEM_USERS), F.lit(False))
     sudo = F.coalesce((F.col("user") != "") & (F.col("user") != me), F.lit(False)) & F.lit(me != "root")
     df = df.withColumns({"protected": protected, "system": system, "sudo": sudo})
-    first = F.when(F.col("protected"), _text("%s (PID %d) is a protected system process", "name", "pid")).when(F.col("system"), _text("%s (PID %d) is a system process (root-owned)", "name", "pid"))
-    second = F.when(F.col("sudo"), _text("%s (PID %d) is owned by %s, may require elevated privileges", "name", "pid", "user"))
+    first = F.when(F.col("protected"), _text(PROTECTED_TEXT, "name", "pid")).when(F.col("system"), _text(SYSTEM_TEXT, "name", "pid"))
+    second = F.when(F.col("sudo"), _text(SUDO_TEXT, "name", "pid", "user"))
     label = F.when(F.col("protected"), "CRITICAL").when(F.col("system"), "CAUTION").otherwise("OK")
     return df.withColumns({"label": label, "warnings": F.array_compact(F.array(first, second))})
 
 
-def confirmation(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
-    """One row about the selected processes that exist: how many, what they need, and all warnings in order of pid."""
+def warnings(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
+    """pid, ord (from 0), text: each warning about a selected process that exists, a row each, in no order."""
+    hit = classified(df.join(selected.select("pid").distinct(), "pid"), me)
+    return hit.select("pid", F.posexplode("warnings").alias("ord", "text"))
+
+
+def confirmation_flags(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
+    """One row about the selected processes that exist: how many, what they need, how many warnings. Two-phase, no lists."""
     hit = classified(df.join(selected.select("pid").distinct(), "pid"), me)
-    texts = F.array_sort(F.collect_list(F.struct("pid", "warnings")))
-    flat = F.flatten(F.transform(texts, lambda t: t["warnings"]))
-    return hit.agg(
-        F.count(F.lit(1)).alias("processes"), F.coalesce(F.bool_or("protected"), F.lit(False)).alias("has_protected"), F.coalesce(F.bool_or("system"), F.lit(False)).alias("has_system"), F.coalesce(F.bool_or("sudo"), F.lit(False)).alias("requires_sudo"),
-        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("n_warnings"), F.array_join(flat, " | ").alias("warnings"),
-    )
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return hit.agg(F.count(F.lit(1)).alias("processes"), any_of("protected").alias("has_protected"), any_of("system").alias("has_system"), any_of("sudo").alias("requires_sudo"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("n_warnings"))
+
+
+def confirmation(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
+    """``confirmation_flags`` and the text of the dialog: all warnings in order of pid.
+
+    The text is one value, as long as the selection that a user has made; ``warnings`` has the same as rows.
+    """
+    texts = F.array_sort(F.collect_list(F.struct("pid", "ord", "text")))
+    joined = warnings(df, selected, me).agg(F.array_join(F.transform(texts, lambda t: t["text"]), " | ").alias("warnings"))
+    return confirmation_flags(df, selected, me).join(F.broadcast(joined), F.lit(True))
 
 
 def kill_plan(df: DataFrame, selected: DataFrame, me: str, force: bool = False) -> DataFrame:
@@ -57,8 +78,8 @@ def kill_plan(df: DataFrame, selected: DataFrame, me: str, force: bool = False)
 def validated(df: DataFrame, me: str) -> DataFrame:
     """ok and warnings for ending one process: never a critical one; others with the warnings that apply."""
     critical = F.coalesce(F.col("name").isin(*CRITICAL), F.lit(False)) | (F.col("pid") == 1)
-    important = F.when(F.col("name").isin(*IMPORTANT), _text("WARNING: %s is an important system service. Killing it may cause unexpected behavior.", "name"))
-    root = F.when(F.col("user") == "root", F.lit("CAUTION: This process is owned by root. Ensure you have a good reason to terminate it."))
-    foreign = F.when((F.col("user") != "") & (F.col("user") != me) & F.lit(me != "root"), _text("CAUTION: This process is owned by %s. You may not have permission to kill it.", "user"))
-    stop = F.array(F.lit("CRITICAL: This is a core system process. Killing it may cause system instability or kernel panic."))
+    important = F.when(F.col("name").isin(*IMPORTANT), _text(IMPORTANT_TEXT, "name"))
+    root = F.when(F.col("user") == "root", F.lit(ROOT_TEXT))
+    foreign = F.when((F.col("user") != "") & (F.col("user") != me) & F.lit(me != "root"), _text(FOREIGN_TEXT, "user"))
+    stop = F.array(F.lit(CRITICAL_TEXT))
     return df.withColumns({"ok": ~critical, "warnings": F.when(critical, stop).otherwise(F.array_compact(F.array(important, root, foreign)))})

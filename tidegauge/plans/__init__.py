@@ -1 +1 @@
-"""Named queries: the views of the monitor and the catalogue that is checked against DuckDB."""
+"""Named queries: views, and the catalogue that is checked against DuckDB."""

@@ -77,7 +77,7 @@ for _key, _columns in snapshot.KEYS.items():
     for _up in (True, False):
         _spec = snapshot.SortSpec(_key, _up)
         _by = " + ".join(_columns).replace("user", '"user"')
-        _add(f"sort_{_key}_{'asc' if _up else 'desc'}", _p(lambda p, s=_spec: snapshot.with_position(p, s.columns()).select("pid", F.col("pos").cast("bigint").alias("pos"))), f"WITH {_PROC} SELECT pid, row_number() OVER (ORDER BY {_by} {'ASC' if _up else 'DESC'}, pid) AS pos FROM proc")
+        _add(f"sort_{_key}_{'asc' if _up else 'desc'}", _p(lambda p, s=_spec, c=tuple(dict.fromkeys(("pid", *_columns))): snapshot.with_position(p.select(*c), s.columns()).select("pid", F.col("pos").cast("bigint").alias("pos"))), f"WITH {_PROC} SELECT pid, row_number() OVER (ORDER BY {_by} {'ASC' if _up else 'DESC'}, pid) AS pos FROM proc")
 _add("top8", _p(views.top_table), f"WITH {_PROC} SELECT pid, name || repeat(' ', greatest(30 - length(name), 0)) AS name, cpu_percent, {_bytes_sql('memory')} AS memory, threads, \"user\" || repeat(' ', greatest(15 - length(\"user\"), 0)) AS \"user\" FROM proc ORDER BY proc.cpu_percent DESC, pid LIMIT 8")
 _add("page", _p(lambda p: snapshot.page(p, snapshot.SortSpec("memory"), 40, 20).select("pid", "memory")), f"WITH {_PROC} SELECT pid, memory FROM proc ORDER BY memory DESC, pid LIMIT 20 OFFSET 40")
 _add("process_table", lambda s, d: views.process_table(tables.processes(s, d), _chosen(s), snapshot.SortSpec("name", True), most=50), f"WITH {_PROC}, {_CHOSEN} SELECT pid, CASE WHEN pid IN (SELECT pid FROM chosen) THEN '▶ ' ELSE '' END || name AS name, cpu_percent, {_bytes_sql('memory')} AS memory, {_bytes_sql('(io_write_bytes + io_read_bytes)')} AS net_io, threads, \"user\" FROM proc ORDER BY proc.name, pid LIMIT 50")

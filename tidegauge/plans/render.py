@@ -17,11 +17,15 @@ def text_table(df: DataFrame, rows: int = ROWS) -> str:
 
 
 def sparkline(levels: list[int], height: int = 5) -> str:
-    """Levels 0 to 8 as a column chart of ``height`` lines, the highest first."""
-    filled = [round(level * height / 8) for level in levels]
-    return "\n".join("".join(GLYPHS[level] if f >= line else " " for f, level in zip(filled, levels, strict=True)) for line in range(height, 0, -1))
+    """Levels 0 to 8 as a column chart of ``height`` lines, the highest first: a column fills as many lines as its level has."""
+    return "\n".join("".join(GLYPHS[level] if level >= line else " " for level in levels) for line in range(height, 0, -1))
+
+
+def labelled_sparklines(series: dict[str, list[int]], width: int = 12) -> str:
+    """One line a series, its levels on a common scale, behind its label at the right of a column of ``width``."""
+    return "\n".join((f"{name + ':':>{width}} " if name else "") + sparkline(levels, 1) for name, levels in series.items())
 
 
 def gauge(bar: str, percent: float | None = None, value: float | None = None, unit: str = "") -> str:
     """A bar with its percentage, or with its value and unit."""
-    return bar + (f" {percent:5.1f}%" if percent is not None else f" {value:6.1f}{unit}" if value is not None else "")
+    return bar + (f" {percent:5.1f}%" if percent is not None else f" {value:6.1f}{' ' * bool(unit)}{unit}" if value is not None else "")

@@ -1,4 +1,4 @@
-"""The monitor's views as queries: each composes operators and returns one small table."""
+"""Views as queries: each composes operators and returns one small table."""
 
 from __future__ import annotations
 
