@@ -15,3 +15,30 @@ def test_ring_over_micro_batches(spark, tmp_path):
     got = rings.drained(rings.rolling_stream(stream), "test-ring").select("series", "event_id", "ring_min", "ring_max", "ring_size")
     want = series.rolling_range(df, ["series"], ["event_id"], "value").select("series", "event_id", "ring_min", "ring_max", "ring_size")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rates_over_micro_batches(spark, tmp_path):
+    """The last counter and time of a series carry over; falls and standing time give no rate."""
+    df = spark.range(300).select(
+        (F.col("id") % 3).alias("series"), F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 700_000 - (F.col("id") % 11 == 0).cast("long") * 2_100_000).cast("timestamp_ntz").alias("ts"),
+        ((F.col("id") * 7919) % 4001 + F.col("id") * 20).alias("counter"),
+    )
+    for k in range(3):
+        df.where(f"event_id div 100 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = rings.drained(rings.rate_stream(stream, 10.0), "test-rates").select("series", "event_id", "rate", "counter_reset")
+    want = series.rates(df, ["series"], ["event_id"], "counter", "ts", 10.0).select("series", "event_id", "rate", "counter_reset")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.where("rate is null").count() > 3
+
+
+def test_streams_without_rows(spark, tmp_path):
+    schema = "series long, core string, event_id long, ts timestamp_ntz, value double"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    counters = stream.select("series", "event_id", "ts", F.col("event_id").alias("counter"))
+    outs = [
+        rings.drained(rings.rolling_stream(stream), "none"), rings.drained(rings.rate_stream(counters), "none"), rings.drained(rings.latest_stream(stream), "none", "complete"),
+        rings.drained(rings.tumbling_counts(stream), "none", "complete"),
+    ]
+    assert [df.count() for df in outs] == [0] * 4
