@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset (local tests), a temporary folder is made and set."""
+    """The folder of ``spark.checkpoint.dir``, or the one set by setCheckpointDir.
+
+    Where neither is set, a local session (one machine, as in tests) gets a temporary folder. On a cluster that is an error, as
+    other machines wouldn't see such a folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="scratch-")
-        spark.sparkContext.setCheckpointDir(folder)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
