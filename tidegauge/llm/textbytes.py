@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is one chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,7 +29,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Powers:
@@ -47,8 +50,8 @@ class Powers:
 _powers = Powers()
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, row offsets) of runs of rows with at most ``limit`` bytes, or of one longer row.
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, row offsets) of runs of at most ``rows`` rows and ``limit`` bytes, or of one longer row.
 
     Null texts count as empty.
     """
@@ -61,6 +64,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        last = min(last, first + rows) if rows else last
         yield first, last, flat[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
@@ -88,15 +92,44 @@ def fold_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-    up, down = _powers.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time are mixed in by a bijection, so no two spans of up to eight bytes and one length collide, and longer
+    ones only by chance, whatever their structure. Spans of more than LONG_SPAN bytes get BLAKE2b, one by one.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lane = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    out = mix64((size.astype(np.uint64) + np.uint64(1)) * _BASE)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix64(out[live] ^ (lane[at] & _LANE_MASK[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``k`` consecutive values; runs may cross rows and are for the caller to mask."""
+    """A 64-bit hash of each run of ``k`` consecutive values, by doubling; runs may cross rows and are for the caller to mask.
+
+    Equal runs have equal hashes. Every step mixes, so that different runs collide only by chance.
+    """
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    out, width = values, 1
+    while width < k:
+        step = min(width, k - width)
+        out = mix64(out[:-step] ^ (out[step:] * _BASE + np.uint64(width)))
+        width += step
+    return out
+
+
+def rolling_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """A cheap rolling hash of each run of ``k`` consecutive values, for choosing and filtering only: long regular runs can collide."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
