@@ -2,12 +2,15 @@
 
 No piece of the vocabulary holds the space mark after another character, nor a character that only stands alone, so no
 merge crosses the border before a run of space marks or around such a character. A text is therefore cut there into words;
-the words a worker has not met yet are laid out as one flat numpy array of symbols and merged together, round by round.
+the words a worker has not met lately are laid out as one flat numpy array of symbols and merged together, round by round.
+Words of very many symbols, as texts without spaces have them, would take a round for nearly every merge; they are merged
+one by one from a heap of pairs instead, in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -16,11 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegauge.llm.columns import col
 from tidegauge.llm.textbytes import chunks
 
 MARK = "▁"
-#: Words a worker remembers before it starts anew, and bytes of texts whose new words are merged together.
-CACHE_WORDS, ROUND_BYTES = 200_000, 1 << 20
+#: Words a worker remembers at most, characters of the longest of these, and bytes of texts whose new words are merged together.
+CACHE_WORDS, CACHED_CHARS, ROUND_BYTES = 200_000, 256, 1 << 19
+#: Symbols from which on a word is merged from a heap.
+LONG_WORD = 512
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceModel:
@@ -46,7 +54,8 @@ class PieceModel:
         a, b, r, m = np.array(rows, np.int64).reshape(-1, 4).T
         keys = a << 32 | b
         at = np.argsort(keys)
-        self.keys, self.ranks, self.merged = keys[at], r[at], m[at]
+        self.keys, self.ranks, self.merged, self.table = keys[at], r[at], m[at], None
+        self._hash_pairs()
         # A rank is safe if all its pairs may merge at once: one piece has it, and no pair with that piece ranks better.
         best = np.full(self.size, np.iinfo(np.int64).max)
         for side in (a, b):
@@ -57,8 +66,29 @@ class PieceModel:
         self.safe[: order.max(initial=0) + 1] &= np.bincount(order, minlength=int(order.max(initial=0)) + 1) == 1
         joined = set("".join(p for p in self.ids if len(p) > 1))
         self.splits_lines = "\n" not in joined
+        # By id, the last for a character that is no piece.
+        self.digits = [*map(str, range(self.size)), ""]
+        self.spoken = [*(p.replace(MARK, " ") for p in pieces), ""]
+        self.digit_sizes, self.spoken_sizes = np.array([len(d) + 1 for d in self.digits]), np.array(list(map(len, self.spoken)))
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.splits_lines else f"{MARK}*[^{MARK}]+|{MARK}+")
 
+    def _hash_pairs(self) -> None:
+        """The merge table as a hash table with open addressing: slot_keys (-1: free), slots (where the pair is), probes needed."""
+        self.slot_bits = max(8, int(np.ceil(np.log2(4 * max(len(self.keys), 1)))))
+        mask = (1 << self.slot_bits) - 1
+        self.slot_keys, self.slots = np.full(mask + 1, -1, np.int64), np.zeros(mask + 1, np.int64)
+        open_pairs, self.probes = np.arange(len(self.keys)), 0
+        slot = ((self.keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        while len(open_pairs):
+            self.probes += 1
+            free = self.slot_keys[slot] < 0
+            taken, first = np.unique(slot[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.slot_keys[taken], self.slots[taken] = self.keys[open_pairs[placed]], open_pairs[placed]
+            left = np.ones(len(open_pairs), bool)
+            left[placed] = False
+            open_pairs, slot = open_pairs[left], (slot[left] + 1) & mask
+
     @classmethod
     def load(cls, spec: bytes) -> PieceModel:
         return cls(*read_pieces(spec))
@@ -69,15 +99,58 @@ class PieceModel:
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all ``words``, flat, and where each word's begin (one more than words)."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        long = [len(w) >= LONG_WORD for w in words]
+        if not any(long):
+            return self._merge_rounds(words)
+        flat, begins = self._merge_rounds([w for w, x in zip(words, long, strict=True) if not x])
+        parts, at = [], 0
+        for word, x in zip(words, long, strict=True):
+            parts.append(self._merge_heap(word) if x else flat[begins[at] : begins[at + 1]])
+            at += not x
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _merge_heap(self, word: str) -> np.ndarray:
+        """Final symbols of one word: the best pair, of equal ones the leftmost, merges first."""
+        symbols = self._symbols(word)
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, found = self._pairs(symbols, np.zeros(n, np.int64), -1)
+        at = np.flatnonzero(rank >= 0)
+        symbols, heap = symbols.tolist(), list(zip(rank[at].tolist(), at.tolist(), symbols[at].tolist(), symbols[at + 1].tolist(), self.merged[found[at]].tolist(), strict=True))
+        heapq.heapify(heap)
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        pair = self.table.get
+        while heap:
+            _, i, a, b, merged = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = merged, -1
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                if x := pair(merged << 32 | symbols[j]):
+                    heapq.heappush(heap, (x[0], i, merged, symbols[j], x[1]))
+            h = before[i]
+            if h >= 0 and (x := pair(symbols[h] << 32 | merged)):
+                heapq.heappush(heap, (x[0], h, symbols[h], merged, x[1]))
+        return np.array([s for s in symbols if s >= 0], np.int64)
+
+    def _symbols(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         seen, back = np.unique(points, return_inverse=True)
-        symbols = np.array([self.ids.get(chr(c), self.size + c) for c in seen.tolist()], np.int64)[back]
+        return np.array([self.ids.get(chr(c), self.size + c) for c in seen.tolist()], np.int64)[back]
+
+    def _merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` in rounds over all words at once: in each, every word merges its pairs of least rank."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self._symbols("".join(words))
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
         none = len(self.safe) - 1
+        rank, found = self._pairs(symbols, word, none)
         while len(symbols):
-            rank, found = self._pairs(symbols, word, none)
             edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, edges)
             sizes = np.diff(np.r_[edges, len(word)])
@@ -94,20 +167,38 @@ class PieceModel:
             symbols[chosen] = self.merged[found[chosen]]
             keep = np.ones(len(symbols), bool)
             keep[chosen + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            # Only pairs of a merged symbol with a neighbour are new.
+            new = np.zeros(len(symbols), bool)
+            new[chosen] = True
+            symbols, word, rank, found, new = symbols[keep], word[keep], rank[keep], found[keep], new[keep]
+            new[:-1] |= new[1:]
+            at = np.flatnonzero(new)
+            rank[at], found[at] = self._looked_up(symbols, word, at, none)
         flat, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_symbols, done_words))
         order = np.argsort(owner, kind="stable")
         return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
+    def _looked_up(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each symbol ``at`` with its right neighbour in the word, or ``none``, and where the merge table has the pair."""
+        rank, found = np.full(len(at), none), np.zeros(len(at), np.int64)
+        pair = np.flatnonzero(at + 1 < len(symbols))
+        pair = pair[word[at[pair]] == word[at[pair] + 1]]
+        key = symbols[at[pair]] << 32 | symbols[at[pair] + 1]
+        slot = ((key.view(np.uint64) * _SPREAD) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        for _ in range(self.probes):
+            held = self.slots[slot]
+            place = self.slot_keys[slot]
+            hit = place == key
+            rank[pair[hit]], found[pair[hit]] = self.ranks[held[hit]], held[hit]
+            more = ~hit & (place >= 0)
+            if not more.any():
+                break
+            pair, key, slot = pair[more], key[more], (slot[more] + 1) & ((1 << self.slot_bits) - 1)
+        return rank, found
+
     def _pairs(self, symbols: np.ndarray, word: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each symbol with its right neighbour in the word, or ``none``, and where the merge table has the pair."""
-        rank, found = np.full(len(symbols), none), np.zeros(len(symbols), np.int64)
-        if len(symbols) > 1:
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][ok], found[:-1][ok] = self.ranks[at[ok]], at[ok]
-        return rank, found
+        return self._looked_up(symbols, word, np.arange(len(symbols)), none)
 
     def _leftmost(self, best: np.ndarray, least_here: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Of the positions with their word's least rank: all that don't overlap, from the left, or only the first of the word."""
@@ -134,19 +225,21 @@ class PieceModel:
             if i in self.bytes_of:
                 pending.append(self.bytes_of[i])
                 continue
-            while pending:
+            at = 0
+            while at < len(pending):
                 for k in (1, 2, 3, 4):
                     try:
-                        out.append(bytes(pending[:k]).decode())
+                        out.append(bytes(pending[at : at + k]).decode())
                         break
                     except UnicodeDecodeError:
                         continue
                 else:
                     k = 1
                     out.append("�")
-                del pending[:k]
+                at += k
+            pending.clear()
             if i >= 0:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(self.spoken[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -166,40 +259,61 @@ def read_pieces(spec: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Codec:
-    """A worker's memory of words: word -> ids as text, ids as text -> surface."""
-
-    def __init__(self, model: PieceModel) -> None:
-        self.model, self.coded, self.spoken = model, {}, {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.coded) + len(words) > CACHE_WORDS:
-            self.coded.clear()
-            self.spoken.clear()
-        new = list(words - self.coded.keys())
-        if not new:
-            return
-        flat, begins = self.model.merge(new)
-        symbols, at = flat.tolist(), begins.tolist()
-        for k, word in enumerate(new):
-            ids = self.model.ids_of(symbols[at[k] : at[k + 1]])
-            self.coded[word] = text = ",".join(map(str, ids))
-            self.spoken[text] = self.model.surface(ids)
+    """A worker's memory of words: word -> (ids as text, surface), in two generations.
+
+    When the younger generation is full it becomes the older one, which goes; words met again meanwhile are young again. So
+    frequent words stay and the memory is bounded. Words of more than CACHED_CHARS characters aren't kept.
+    """
+
+    def __init__(self, model: PieceModel, bound: int = CACHE_WORDS) -> None:
+        self.model, self.bound = model, bound // 2
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Makes the younger generation have all ``words``. Returns those to be forgotten after use, as they are too long."""
+        new = words - self.young.keys()
+        if len(self.young) + len(new) > self.bound:
+            self.old, self.young = self.young, {}
+            new = words
+        again = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        new = list(new - again)
+        if new:
+            self._encode(new)
+        return [w for w in new if len(w) > CACHED_CHARS]
+
+    def _encode(self, words: list[str]) -> None:
+        """Puts the words into the younger generation."""
+        model = self.model
+        flat, begins = model.merge(words)
+        known = np.minimum(flat, model.size)
+        ids, spoken = ",".join(map(model.digits.__getitem__, known.tolist())), "".join(map(model.spoken.__getitem__, known.tolist()))
+        ids_at, spoken_at = (np.r_[0, np.cumsum(size[known])][begins].tolist() for size in (model.digit_sizes, model.spoken_sizes))
+        for k, word in enumerate(words):
+            self.young[word] = ids[ids_at[k] : ids_at[k + 1] - 1], spoken[spoken_at[k] : spoken_at[k + 1]]
+        # Words with a character that is no piece hold bytes.
+        for k in np.unique(np.searchsorted(begins, np.flatnonzero(known == model.size), "right") - 1).tolist():
+            own = model.ids_of(flat[begins[k] : begins[k + 1]].tolist())
+            self.young[words[k]] = ",".join(map(str, own)), model.surface(own)
 
     def run(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
         cut = [self.model.words(t) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
+        long, known = self.learn(set(chain.from_iterable(cut))), self.young
         for words in cut:
-            ids = list(map(self.coded.__getitem__, words))
-            decoded = "".join(map(self.spoken.__getitem__, ids))
-            yield ",".join(ids), decoded[1:] if words and words[0][0] == MARK else decoded
+            told = list(map(known.__getitem__, words))
+            decoded = "".join([t[1] for t in told])
+            yield ",".join([t[0] for t in told]), decoded[1:] if words and words[0][0] == MARK else decoded
+        for word in long:
+            del known[word]
 
 
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids`` array<int>, ``decoded`` on request), one row per row of ``docs``.
 
     A null text counts as empty: no ids, and an empty text decoded. Null and repeated ids are passed through. Other columns
-    of ``docs`` are not read.
+    of ``docs`` are not read. A text takes time in proportion to its length, one without spaces a little more (a heap).
     """
     with open(model_file, "rb") as f:
         parts = docs.sparkSession.sparkContext.broadcast(read_pieces(f.read()))
@@ -221,4 +335,4 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(col(id_col), col(text_col)).mapInArrow(run, schema)
