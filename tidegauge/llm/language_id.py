@@ -18,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.scratch import materialise
+from tidegauge.llm.columns import col
+from tidegauge.shared import materialise
 from tidegauge.llm.textbytes import chunks, fold_ascii
 
 #: Hashed dimensions (a power of two) and centroids a language.
 DIMENSIONS, CENTROIDS = 4096, 4
-#: Bound of the fit: training rows of each language, and languages.
-FIT_ROWS, FIT_LANGUAGES = 400, 64
+#: Bound of the fit: training rows of each language, languages (the most frequent ones), and rows of all languages together.
+FIT_ROWS, FIT_LANGUAGES, FIT_TOTAL = 400, 64, 12_800
+#: Rows of a chunk: a row takes DIMENSIONS numbers, however short its text is.
+CHUNK_ROWS = 256
 #: A text whose cosine to its closest centroid is under this is rejected, however short it is.
 REJECT_COSINE = 0.05
 #: Learnt bounds: powers of two of letter bytes, pieces of each length cut from a training row, the quantile of their cosines,
@@ -148,20 +151,34 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids[size >= max(1, 0.02 * len(vectors))].astype(np.float32)
 
 
+def training_rows(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
+    """lang, text: at most ``rows`` rows of each of the FIT_LANGUAGES most frequent languages, FIT_TOTAL in all, chosen by hash.
+
+    Languages are counted first, so that a hash bound leaves little more than that many rows of each before any of them meet.
+    Rows with null id, text or language aren't chosen; rows that repeat others count as rows.
+    """
+    names = [(id_col, "id"), (text_col, "text"), (lang_col, "lang")]
+    usable = train.select(*(col(c).alias(n) for c, n in names)).where("id is not null and text is not null and lang is not null")
+    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()
+    most = max(1, min(rows, FIT_TOTAL // max(len(common), 1)))
+    turn, shares = F.xxhash64("id"), F.lit(None).cast("double")
+    for lang, n in common:
+        shares = F.when(F.col("lang") == lang, (most + 6 * most**0.5 + 10) / n).otherwise(shares)
+    few = usable.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 30)) < shares * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("turn", "id", "text")
+    return few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("lang", "text")
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> CentroidModel:
-    """Learns from at most ``rows`` rows of each of at most ``FIT_LANGUAGES`` languages of ``train``, chosen by a hash of the id.
+    """Learns from the rows that ``training_rows`` chooses, the same model for the same table.
 
     Rows with null text or language teach nothing. No rows at all: a model without centroids, which predicts nothing.
     """
-    usable = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    turn = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = usable.select(id_col, lang_col).withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") <= rows)
-    few = picked.select(id_col).orderBy(F.xxhash64(id_col)).limit(rows * FIT_LANGUAGES)
-    chosen = materialise(usable.select(id_col, lang_col, text_col).join(F.broadcast(few), id_col, "left_semi").select(lang_col, text_col), "fit-rows")
+    chosen = materialise(training_rows(train, id_col, text_col, lang_col, rows), "fit-rows")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(1)):
+            for first, last, data, offsets in chunks(batch.column(1), rows=CHUNK_ROWS):
                 counts = gram_counts(data, offsets).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 
@@ -182,7 +199,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(1):
-                for _, _, data, offsets in chunks(pa.array([p for p in cut_pieces(text.as_py()) if _ANY_LETTER.search(p)], pa.string())):
+                for _, _, data, offsets in chunks(pa.array([p for p in cut_pieces(text.as_py()) if _ANY_LETTER.search(p)], pa.string()), rows=CHUNK_ROWS):
                     own, score = shared.value.nearest(gram_counts(data, offsets))
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(length_class(_letters(data, offsets)), pa.int32()), pa.array(score, pa.float32())], names=["own", "length", "score"])
 
@@ -193,7 +210,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def _judged(texts: pa.Array, model: CentroidModel, reject_cosine: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, language, score, rejected) of runs of rows."""
     names = np.array(model.langs or ["und"], object)
-    for first, last, data, offsets in chunks(texts):
+    for first, last, data, offsets in chunks(texts, rows=CHUNK_ROWS):
         total = np.concatenate([[0], np.cumsum(_LETTER[_SIGN[data]])])
         has = total[offsets[1:]] > total[offsets[:-1]]
         for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
@@ -220,11 +237,15 @@ def predict(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: CentroidModel, text_col: str = "text", reject_cosine: float = REJECT_COSINE) -> DataFrame:
-    """The rows of ``docs`` that ``predict`` wouldn't reject, all columns unchanged; no shuffle."""
+    """The rows of ``docs`` that ``predict`` wouldn't reject, all columns unchanged; no shuffle.
+
+    Null and empty texts, and texts without a letter, go; so does everything under a model without centroids. Rows are judged
+    one by one, so null and repeated ids and any further columns pass through. A text takes time in proportion to its length.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +258,7 @@ def keep_known(docs: DataFrame, model: CentroidModel, text_col: str = "text", re
 
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
