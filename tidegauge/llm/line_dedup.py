@@ -9,50 +9,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.llm.scratch import materialise
+from tidegauge.llm.columns import col, fresh
+from tidegauge.shared import materialise
 
 WINDOW = 3
+#: Repeated windows up to which their first places are broadcast (some 25 MB); more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def _lines(text_col: str) -> Column:
-    return F.split(F.col(text_col), "\n")
+    return F.split(col(text_col), "\n")
 
 
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, short (a hash of the text), position, key: the MD5 of each run of ``window`` lines of each non-null text with an id."""
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("short"), _lines(text_col).alias("lines"))
+    lines = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("short"), _lines(text_col).alias("lines"))
     key = lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, window), "\n").cast("binary")))
     return lines.where(F.size("lines") >= window).select("doc_id", "short", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), key)).alias("position", "key"))
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """doc_id, short, positions (sorted): the windows of each text whose key stands earlier, there or in another document."""
+    """doc_id, short, positions (sorted): the windows of each text whose key stands earlier, there or in another document.
+
+    A key's first place is one row, aggregated before the shuffle. Few of them are broadcast, so that windows stay where they
+    are; many are joined by a shuffle, in which Spark splits the rows of a very common key over tasks.
+    """
     place = F.struct("doc_id", "position", "short")
     first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("key", "first")
+    first = materialise(first, "first-lines")
+    if first.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        first = F.broadcast(first)
     later = windows.join(first, "key").where(place != F.col("first"))
     return later.groupBy("doc_id", "short").agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``text`` cleaned, plus ``__n_lines`` and ``__n_removed``; one row per row.
+    """``docs`` with ``text`` cleaned, then two long columns: its lines before, and how many of them went; one row per row.
 
-    A null text stays null with 0 lines; an empty text is one empty line. Texts of fewer than ``window`` lines don't change.
-    Rows without an id neither remove nor lose anything. Rows that repeat id and text are one document; of rows that repeat
-    an id with other texts, which is earlier is decided by a hash. A text that loses
-    every line becomes empty. Columns other than the id and the text pass through.
+    The two are called __n_lines and __n_removed, with more underscores in front where ``docs`` has such columns. A null text stays
+    null with 0 lines; an empty text is one empty line. Texts of fewer than ``window`` lines don't change. Rows without an id
+    neither remove nor lose anything. Rows that repeat id and text are one document; of rows that repeat an id with other
+    texts, which is earlier is decided by a hash. A text that loses every line becomes empty. Columns other than the id and
+    the text pass through, whatever they are called. A very long text costs one hash a line.
     """
+    n_lines, n_removed, other_id, short, cut, split, stays = fresh(docs, "__n_lines", "__n_removed", "other_id", "short", "cut", "split_lines", "kept_lines")
     later = later_windows(materialise(line_windows(docs, id_col, text_col, window), "line-windows"))
-    later = later.select(F.col("doc_id").alias("__id"), F.col("short").alias("__short"), F.col("positions").alias("__cut"))
-    lines = _lines(text_col)
-    starts = F.concat(F.array(F.lit(0)), F.transform("__cut", lambda p: p + window))
-    ends = F.concat("__cut", F.array(F.size(lines)))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("__lines", a + 1, F.greatest(b - a, F.lit(0)))))
-    joined = docs.join(later, (docs[id_col] == later["__id"]) & (F.xxhash64(docs[text_col]) == later["__short"]), "left").withColumn("__lines", lines)
-    cut = joined.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
-    columns = [F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
-    n_lines = F.when(F.col("__lines").isNull(), 0).otherwise(n_lines)
-    return cut.select(*columns, n_lines.cast("long").alias("__n_lines"), F.when(F.col("__kept").isNull(), 0).otherwise(n_lines - F.size("__kept")).cast("long").alias("__n_removed"))
+    later = later.select(F.col("doc_id").alias(other_id), F.col("short").alias(short), F.col("positions").alias(cut))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda p: p + window))
+    ends = F.concat(cut, F.array(F.size(split)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(split, a + 1, F.greatest(b - a, F.lit(0)))))
+    found = docs.join(later, (col(id_col) == F.col(other_id)) & (F.xxhash64(col(text_col)) == F.col(short)), "left").withColumn(split, _lines(text_col))
+    found = found.withColumn(stays, F.when(F.col(cut).isNotNull(), kept))
+    columns = [F.when(F.col(stays).isNull(), col(c)).otherwise(F.array_join(stays, "\n")).alias(c) if c == text_col else col(c) for c in docs.columns]
+    count = F.when(F.col(split).isNull(), 0).otherwise(F.size(split))
+    gone = F.when(F.col(stays).isNull(), 0).otherwise(count - F.size(stays))
+    return found.select(*columns, count.cast("long").alias(n_lines), gone.cast("long").alias(n_removed))
 
 
 #: What op2 returns, in DuckDB's SQL.
