@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidegauge.llm.columns import col
+
 #: Bounds of tier 1, whatever the input: pre-tokens kept, bytes of one, documents looked at for choosing them.
 TABLE_ENTRIES, ENTRY_BYTES, SAMPLE_DOCS = 60_000, 64, 400
 #: Entries a worker caches beyond tier 1 before it starts anew.
@@ -92,7 +94,7 @@ def _checked(spec: bytes) -> list[str]:
 def frequent_lengths(docs: DataFrame, spec: bytes, text_col: str = "text", entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS) -> dict[str, int]:
     """Tier 1: the most frequent pre-tokens of at most ``sample_docs`` documents. It decides speed only, never a count."""
     split, seen = pre_token_pattern().findall, Counter()
-    for (text,) in docs.select(text_col).where(F.length(text_col).between(1, 20_000)).take(sample_docs):
+    for (text,) in docs.select(col(text_col).alias("text")).where(F.length("text").between(1, 20_000)).take(sample_docs):
         seen.update(split(text))
     known = [p for p, _ in seen.most_common(entries) if len(p.encode()) <= ENTRY_BYTES and not any(unicodedata.category(c) == "Cn" for c in p)]
     encoded = _open(spec).encode_batch(known, add_special_tokens=False)
@@ -103,7 +105,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``), one row per row of ``docs``.
 
     A null text counts as empty (0, 0, false). Null and repeated ids are passed through row by row. Special strings inside
-    texts are one token each, as the library reads them by default. Other columns of ``docs`` are not read.
+    texts are one token each, as the library reads them by default. Other columns of ``docs`` are not read. A text takes time
+    in proportion to its length; a very long one isn't listed at once.
     """
     with open(tokenizer_file, "rb") as f:
         spec = f.read()
@@ -136,4 +139,4 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array([n > limit for n in total], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(col(id_col), col(text_col)).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
