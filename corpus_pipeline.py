@@ -17,43 +17,49 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge.llm.columns import col
 from tidegauge.llm.decontamination import mark_contaminated
 from tidegauge.llm.jaccard_join import BROADCAST_IDS, similar_documents
 from tidegauge.llm.language_id import fit, held_out, keep_known
 from tidegauge.llm.line_dedup import dedup_lines
 from tidegauge.llm.piece_codec import encode_decode
-from tidegauge.llm.scratch import materialise
+from tidegauge.shared import materialise
 
 #: Words of a shingle and least similarity in hundredths of the near-duplicate stage.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text is in a learnt language; all columns. Null, empty and letterless texts go."""
     return keep_known(docs, fit(docs.where(~held_out())))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with repeated lines cut out and n_chars counted anew; a text that loses every line goes. All columns."""
     clean = dedup_lines(docs)
-    emptied = (F.col("__n_removed") > 0) & (F.col("__n_removed") == F.col("__n_lines"))
-    clean = clean.where(~emptied)
+    n_lines, n_removed = map(F.col, clean.columns[-2:])
+    clean = clean.where(~((n_removed > 0) & (n_removed == n_lines)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean.select(*map(col, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = similar_documents(docs, k=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    """The rows without those whose component has a smaller id. Rows without an id stay. All columns."""
+    found = similar_documents(docs.select("doc_id", "text"), k=NEAR_SHINGLE, percent=NEAR_PERCENT)
     others = materialise(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
     few = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*map(col, docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows in whose text no benchmark item stands within its error budget. All columns."""
     marked = mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where("not __contaminated").select(*docs.columns)
+    return marked.where(~F.col(marked.columns[-1])).select(*map(col, docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text, one row per row."""
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
