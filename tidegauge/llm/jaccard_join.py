@@ -3,8 +3,12 @@
 Sets of like size form a band. Two sets of a band with Jaccard similarity t or more differ in at most H tokens, so if the
 token universe is hashed into segments worth more than H in all, they agree on some segment: an untouched segment is worth
 one, a segment that may lack one token (its one-deletion neighbourhood is indexed too) is worth two. For each band the
-cheaper allocation is taken. Segments of one token or none would meet with far too many others; a set leaves them out
-where the spare segments of its band make up for them. All that meets is verified exactly.
+cheaper allocation is taken, by the signatures it makes and the chance meetings these cause.
+
+A band with H + 1 + s segments of worth one has s to spare: any two similar sets agree on s + 1 segments, so each set leaves
+out s of its own, the least ones in an order that depends on a segment and its content alone. Of the segments that two sets
+agree on, the greatest stands above s others in both, so both keep it. The order puts segments of few uncommon tokens first:
+empty ones, and those that only hold tokens which very many documents have.
 
 Equal sets are one node from the start. Nodes that share a signature form a group; rather than all its pairs, a group
 tests one node of each component against one of its leading component, round by round, and only pairs of nodes that are
@@ -23,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.llm import textbytes
+from tidegauge.llm.columns import col
 from tidegauge.llm.components import connected_components
-from tidegauge.llm.scratch import materialise
 from tidegauge.llm.textbytes import fold_ascii, gram_hashes, mix64, span_hashes, words
+from tidegauge.shared import materialise
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
@@ -38,13 +43,19 @@ CHUNK_BYTES = 1 << 18
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
-#: What a chance meeting on a segment without common tokens costs, in signatures.
-MEETING_COST = 1e6
+#: What a kept segment of one token costs, in signatures, as many documents may have that token.
+LIGHT_COST = 16
+#: Common tokens: texts of the sample (and characters of the longest of these), the share of them, at least, that have such a
+#: token, and how many such tokens are told to all workers. They decide costs only, never a link.
+SAMPLE_TEXTS, SAMPLE_CHARS, COMMON_SHARE, COMMON_TOKENS = 2_000, 100_000, 0.005, 65_536
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of ``low`` to ``high`` tokens, and larger ones that can link with these."""
+    """Sets of ``low`` to ``high`` tokens, and larger ones that can link with these.
+
+    With ``deletions`` a segment is worth two, else one; ``spare`` segments of each set are left out.
+    """
 
     low: int
     high: int
@@ -57,23 +68,29 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     return textbytes.chunks(texts, CHUNK_BYTES)
 
 
+def _excess(mean: float, spread: float, spare: int) -> float:
+    """The mean of what exceeds ``spare``, for a number around ``mean``."""
+    if spread <= 0:
+        return max(0.0, mean - spare)
+    z = (spare - mean) / spread
+    beyond = 0.5 * math.erfc(z / math.sqrt(2))
+    return spread * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) + (mean - spare) * beyond
+
+
 def _allocation(low: int, high: int, percent: int) -> Band:
-    """The cheaper of single-worth segments, with spare ones if there are enough, and double-worth segments."""
+    """The cheaper of segments worth one, with the best number of spare ones, and of segments worth two."""
     most = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
     if not most:
         return Band(low, high, 0, False, 0)
-    plans = []
-    double = -(-(most + 1) // 2)
-    plans.append((high + double + MEETING_COST * double * math.exp(1 - low / double), Band(low, high, double, True, 0)))
-    spare = 0
-    for _ in range(20):
+    light = lambda n, tokens: math.exp(-low / n) * sum((low / n) ** j / math.factorial(j) for j in range(tokens + 1))
+    double = most // 2 + 1
+    plans = [(high + double + 2 * LIGHT_COST * double * light(double, 2), 0, Band(low, high, double, True, 0))]
+    for spare in sorted({most * i // 16 for i in range(33)}):
         n = most + 1 + spare
-        light = n * math.exp(-low / n) * (1 + low / n)
-        spare = math.ceil(light + 4 * math.sqrt(light) + 1)
-    n = most + 1 + spare
-    if n <= low / 3:
-        plans.append((n, Band(low, high, n, False, spare)))
-    return min(plans, key=lambda p: p[0])[1]
+        share = light(n, 1)
+        kept = _excess(n * share, math.sqrt(n * share * (1 - share)), spare)
+        plans.append((most + 1 + LIGHT_COST * kept, spare, Band(low, high, n, False, spare)))
+    return min(plans, key=lambda p: p[:2])[2]
 
 
 @lru_cache(8)
@@ -110,15 +127,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return row[new], token[new]
 
 
-def set_keys(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size of each row's set and a hash of it in two 64-bit halves (0 for an empty set)."""
+def set_keys(row: np.ndarray, token: np.ndarray, rows: int, clashes: tuple[np.ndarray, ...] = (), bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each row's set, its node and a further hash, both of 64 bits (0 for an empty set).
+
+    The node is a hash of ``bits`` bits. ``clashes`` lists nodes that different sets were found to share: these take another
+    hash, list by list.
+    """
     size = np.bincount(row, minlength=rows)
     halves = []
     for salt in (0x51, 0xA7C3):
         total = np.r_[np.uint64(0), np.cumsum(mix64(token ^ mix64(np.array([salt], np.uint64))), dtype=np.uint64)]
         end = np.cumsum(size)
         halves.append(mix64(total[end] - total[end - size] + size.astype(np.uint64)))
-    return size, *(np.where(size > 0, h, 0).view(np.int64) for h in halves)
+    node, half = halves
+    node = node >> np.uint64(64 - bits)
+    for shared in clashes:
+        node = np.where(np.isin(node.view(np.int64), shared), mix64(node ^ mix64(half)), node)
+    return size, *(np.where(size > 0, h, 0).view(np.int64) for h in (node, half))
 
 
 def parity_sketches(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
@@ -138,13 +163,19 @@ def _may_link(n: str, m: str, s: list[str], t: list[str], percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
-def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each set, for its own band and for the band below where a smaller partner can stand there."""
+def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of each set, for its own band and for the band below where a smaller partner can stand there.
+
+    ``common`` lists tokens, sorted, that very many sets have.
+    """
     plan = bands(percent)
     low = np.array([b.low for b in plan])
     high, segments, deletions, spare = (np.array([getattr(b, n) for b in plan]) for n in ("high", "segments", "deletions", "spare"))
     own = np.searchsorted(low, np.maximum(size, 1), "right") - 1
     below = np.maximum(own - 1, 0)
+    rare = np.ones(len(token), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, token), len(common) - 1)] != token
     out_rows, out = [], []
     for band, live in ((own, size > 0), (below, (size > 0) & (own > 0) & (100 * high[below] >= percent * size))):
         m = np.where(live, segments[band], 0)
@@ -155,15 +186,16 @@ def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: in
             continue
         slot = base[r] + ((t >> np.uint64(20)) % m[r].astype(np.uint64)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        slot, r, t = slot[order], r[order], mix64(t[order])
+        slot, r, t, uncommon = slot[order], r[order], mix64(t[order]), rare[used][order]
         heads = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        content, filled = np.zeros(int(m.sum()), np.uint64), np.bincount(slot, minlength=int(m.sum()))
+        content, filled, few = np.zeros(int(m.sum()), np.uint64), np.bincount(slot, minlength=int(m.sum())), np.bincount(slot[uncommon], minlength=int(m.sum()))
         content[slot[heads]] = np.add.reduceat(t, heads)
         owner = np.repeat(np.arange(len(m)), m)
         tag = mix64((band[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64) + np.uint64(1))
-        light = (filled <= 1) & ~deletions[band[owner]]
-        lights = np.bincount(owner[light], minlength=len(m))
-        keep = ~(light & (lights <= spare[band])[owner])
+        # The order of a set's segments: uncommon tokens, tokens, a hash of the content, and the segment's number.
+        worth = np.minimum(few, 15).astype(np.uint64) << np.uint64(60) | np.minimum(filled, 15).astype(np.uint64) << np.uint64(56) | mix64(content) >> np.uint64(8)
+        ranked = np.lexsort((worth, owner))
+        keep = ranked[np.arange(len(owner)) - base[owner] >= spare[band][owner]]
         out_rows.append(owner[keep])
         out.append(mix64(content[keep] ^ tag[keep]))
         near = deletions[band[r]]
@@ -174,41 +206,77 @@ def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: in
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, clashes: tuple[np.ndarray, ...] = (), bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, node, half, s0, ...: each document's set size, the two halves of its set's hash, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(1)):
                 found = shingle_sets(data, offsets, k)
-                size, a, b = set_keys(*found, last - first)
+                size, a, b = set_keys(*found, last - first, clashes, bits)
                 sketch = [pa.array(np.ascontiguousarray(c)) for c in parity_sketches(*found, last - first).T]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size, pa.int64()), pa.array(a), pa.array(b), *sketch], names=["doc_id", "n_shingles", "node", "half", *SKETCH])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long, half long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def shared_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def named_sets(texts: DataFrame, k: int = SHINGLE, bits: int = 64) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """``document_keys`` of the texts such that different sets have different nodes, and the clashes that this took.
+
+    Of n sets some n * n / 2 ** 65 pairs clash (270 of 10 ** 11 sets); only these few nodes come to the driver.
+    """
+    clashes: tuple[np.ndarray, ...] = ()
+    while True:
+        keys = materialise(document_keys(texts, k=k, clashes=clashes, bits=bits), "set-keys")
+        shared = keys.groupBy("node").agg(F.min("half").alias("low"), F.max("half").alias("high")).where("low != high")
+        found = shared.select("node").toArrow()["node"].to_numpy()
+        if not len(found):
+            return keys, clashes
+        clashes = (*clashes, found)
+
+
+def common_tokens(texts: DataFrame, rows: int, k: int = SHINGLE, text_col: str = "text") -> np.ndarray:
+    """Tokens, sorted, that COMMON_SHARE of some SAMPLE_TEXTS of the ``rows`` texts have, COMMON_TOKENS of them at most."""
+    every = max(1, rows // SAMPLE_TEXTS)
+    picked = texts.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in chunks(batch.column(0)):
+                row, token = shingle_sets(data, offsets, k)
+                _, node, _ = set_keys(row, token, last - first)
+                once = np.zeros(last - first, bool)
+                once[np.unique(node, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(token[once[row]].view(np.int64))], names=["token"])
+
+    counted = picked.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    least = max(8, math.ceil(COMMON_SHARE * min(rows, SAMPLE_TEXTS)))
+    held = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).select("token").toArrow()
+    return np.sort(held["token"].to_numpy().view(np.uint64))
+
+
+def shared_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, clashes: tuple[np.ndarray, ...] = (), bits: int = 64, common: np.ndarray | None = None) -> DataFrame:
     """signature, node: the signatures that at least two different nodes have, each (signature, node) once.
 
     Each chunk of texts emits a (signature, node) once however many copies it holds, so a signature's rows are bounded by
     its different nodes and the number of chunks.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for first, last, data, offsets in chunks(batch.column(0)):
                 row, token = shingle_sets(data, offsets, k)
-                size, node, _ = set_keys(row, token, last - first)
+                size, node, _ = set_keys(row, token, last - first, clashes, bits)
                 fresh = np.array([n not in seen and not seen.add(n) for n in node.tolist()], bool) & (size > 0)
                 kept = fresh[row]
-                owner, signature = signatures(row[kept], token[kept], np.where(fresh, size, 0), percent)
+                owner, signature = signatures(row[kept], token[kept], np.where(fresh, size, 0), percent, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[owner])], names=["signature", "node"])
 
     rows = docs.select(text_col).mapInArrow(run, "signature long, node long")
     same = Window.partitionBy("signature")
-    met = rows.withColumn("__low", F.min("node").over(same)).withColumn("__high", F.max("node").over(same)).where("__low != __high")
+    met = rows.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low != high")
     return met.select("signature", "node").distinct()
 
 
@@ -232,14 +300,14 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int
     return pairs.join(other, "b").join(one, "a").select("a", "b", "__a", "__b").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(joined: DataFrame, k: int) -> DataFrame:
+def _texts_of(joined: DataFrame, k: int, clashes: tuple[np.ndarray, ...] = (), bits: int = 64) -> DataFrame:
     """node, text of the rows whose text really has the node's set: an id that several texts share brings the others along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(0).to_numpy()
             for first, last, data, offsets in chunks(batch.column(1)):
-                node = set_keys(*shingle_sets(data, offsets, k), last - first)[1]
+                node = set_keys(*shingle_sets(data, offsets, k), last - first, clashes, bits)[1]
                 yield batch.slice(first, last - first).filter(pa.array(node == wanted[first:last]))
 
     return joined.select("node", "text").mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
@@ -316,23 +384,46 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(parts.join(whole, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "parts")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links), one row per row of ``docs``.
 
     Words are runs without white space, A-Z lower-cased. Texts without words, empty and null texts have an empty set and
-    link with nothing. Rows with a null id are left out; rows that repeat an id keep one row each, and the id's sets are
-    linked through it only if they are similar. Other columns are not read.
+    link with nothing. Rows with a null id keep their set size and have no component; nothing is linked through them. Rows
+    that repeat an id keep one row each, and the id's sets are linked through it only if they are similar. Other columns are
+    not read. A text is held whole by one worker at a time, some fifty bytes a character.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keys = materialise(document_keys(texts, k=k), "set-keys")
-    classes = keys.where("n_shingles > 0").groupBy("node", "half").agg(F.min("doc_id").alias("least"))
-    shared = materialise(shared_signatures(texts, "text", k, percent), "signatures")
+    texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    keys, clashes = named_sets(texts, k, bits)
+    known = keys.where("n_shingles > 0 and doc_id is not null")
+    classes = known.groupBy("node", "half").agg(F.min("doc_id").alias("least"))
+    usable = texts.where("doc_id is not null")
+    common = common_tokens(usable, keys.count(), k)
+    shared = materialise(shared_signatures(usable, "text", k, percent, clashes, bits, common), "signatures")
     met = shared.select("node").distinct()
-    leaders = materialise(classes.join(met, "node").groupBy("node").agg(F.min("least").alias("doc_id")), "leaders")
-    held = materialise(_texts_of(texts.join(_few(leaders), "doc_id"), k), "texts")
-    marks = materialise(keys.join(met, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH)), "marks")
+    marks = known.join(met, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH))
+    marks = materialise(marks, "marks")
+    leaders, marks = marks.select("node", "doc_id"), marks.drop("doc_id")
+    held = materialise(_texts_of(usable.join(_few(leaders), "doc_id"), k, clashes, bits), "texts")
     parts = linked_nodes(shared, marks, held, k, percent)
     least = parts.join(leaders, "node").groupBy("component").agg(F.min("doc_id").alias("part_id"))
     named = materialise(classes.join(parts.join(least, "component").select("node", "part_id"), "node", "left").select("node", "half", F.coalesce("part_id", "least").alias("component_id")), "classes")
     out = keys.drop(*SKETCH).join(named, ["node", "half"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+
+
+#: What op7 returns, in DuckDB's SQL: all pairs that share a shingle, and all that links reach.
+OP7_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(a[p + 1 : p + 4], ' ') AS k
+  FROM (SELECT doc_id, a, unnest(range(0, greatest(len(a) - 3, least(len(a), 1)))) AS p FROM texts)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (k) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) m USING (doc_id)
+"""
