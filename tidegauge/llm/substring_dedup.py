@@ -1,30 +1,34 @@
-"""Removal of repeated word windows by counting window hashes in blocks of phrases with one anchor.
+"""Removal of repeated word windows by relative Lempel-Ziv parsing against blocks of phrases with one anchor.
 
 The least hash of the 4-word grams of a window is its anchor: equal windows have equal anchors, whatever stands around
-them. A maximal run of windows with one anchor is a phrase. All phrases of an anchor form its block. The windows whose hash
-a block holds more than once are duplicate spans. This is not relative Lempel-Ziv parsing: there are no factors with a
-reference position. All windows have one width, so the words in parsed factors of at least a window (with windows across
-factor boundaries looked up) are just the words in windows that occur twice, and a count finds these.
+them. A maximal run of windows with one anchor is a phrase. All phrases of an anchor form its reference block, so whatever a
+phrase can share with any document stands in its own block. A block is indexed by a suffix array over its phrases' windows;
+each phrase is factored greedily into longest runs that stand at another place of the block too. A factor of n windows is
+n + 34 words long: the factors of at least a window become duplicate spans, and at a factor's end the windows across the
+boundary are looked up next, as the parse goes on with the window that follows and not with the word behind the factor.
 
 Texts without a shared anchor leave after the first grouping. Equal texts are one text from the start, equal phrases one
-phrase, both by map-side aggregation, so copies add nothing to a block.
+phrase, both by map-side aggregation, so copies add nothing to a block. Windows are told apart by 64-bit hashes besides the
+64 bits of their anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm.scratch import materialise
+from tidegauge.shared import materialise
+from tidegauge.llm.columns import col
 from tidegauge.llm.textbytes import chunks, gram_hashes, mix64, span_hashes, window_minima, words
 
 #: Words of a window and of an anchor gram.
 WINDOW, GRAM = 35, 4
-#: Bytes of window hashes (copies included) of an anchor beyond which its windows are counted by Spark, not in one task.
+#: Bytes of window hashes (copies included) of an anchor beyond which its windows are counted by Spark, not parsed in one task.
 BLOCK_BYTES = 1 << 25
 #: Rows up to which a table of text keys is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -59,8 +63,8 @@ class Phrases:
 
 def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null: empty), key (MD5) and short (64-bit hash) of the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.xxhash64(text).alias("short"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    return docs.select(col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.xxhash64(text).alias("short"))
 
 
 def _digests(texts: DataFrame, id_type: str) -> DataFrame:
@@ -118,48 +122,110 @@ def _phrase_rows(touched: DataFrame, window: int, k: int) -> DataFrame:
     return touched.select("key", "text", "anchors").mapInArrow(run, "key binary, anchor long, phrase long, first int, windows binary")
 
 
-def factors(block: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
-    """Which windows of each phrase of a block stand elsewhere in the block too, a phrase's own copies included.
+class Factors(NamedTuple):
+    """Factors in order: phrase, first window, windows; the phrase and the first window of the reference, another place."""
 
-    Window hashes are counted; nothing is parsed into factors.
-    """
-    flat = np.concatenate(block)
-    weight = np.repeat(np.array(counts, np.int64), [len(b) for b in block])
-    _, back = np.unique(flat, return_inverse=True)
-    repeated = (np.bincount(back, weights=weight) > 1)[back]
-    return np.split(repeated, np.cumsum([len(b) for b in block])[:-1])
+    phrase: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    source: np.ndarray
+    source_start: np.ndarray
 
 
-def _parse_blocks(distinct: DataFrame) -> DataFrame:
-    """anchor, phrase, marks (a bit for each window): the phrases with any window that stands elsewhere in their block.
+def longest_matches(values: np.ndarray, owner: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how many values from it on also stand at another place, and that place; matches end with a phrase.
 
-    ``distinct`` has anchor, phrase, windows, copies, and comes partitioned and sorted by anchor; one block is held at a time.
+    ``room`` counts the values left in the place's phrase. The places are sorted by doubling; of all other places, a
+    neighbour in that order shares the longest run.
+    """
+    n = len(values)
+    ranks, width = [np.unique(values, return_inverse=True)[1]], 1
+    while width < room.max(initial=0):
+        follows = np.zeros(n, np.int64)
+        inside = np.flatnonzero(room > width)
+        follows[inside] = ranks[-1][inside + width] + 1
+        ranks.append(np.unique(ranks[-1] * (n + 1) + follows, return_inverse=True)[1])
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    one, other, shared = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
+    for level in reversed(range(len(ranks))):
+        step = 1 << level
+        fits = (shared + step <= room[one]) & (shared + step <= room[other])
+        same = ranks[level][np.minimum(one + shared, n - 1)] == ranks[level][np.minimum(other + shared, n - 1)]
+        shared += step * (fits & same)
+    longest, source = np.zeros(n, np.int64), np.arange(n)
+    longest[other], source[other] = shared, one
+    better = shared > longest[one]
+    longest[one[better]], source[one[better]] = shared[better], other[better]
+    return longest, source
+
+
+def factors(values: np.ndarray, sizes: np.ndarray, block: np.ndarray, copies: np.ndarray) -> Factors:
+    """Greedy parses of phrases, each against its own block.
+
+    ``values`` holds the windows of all phrases one after the other; ``sizes``, ``block`` (a number) and ``copies`` describe
+    each phrase. A phrase with copies is one factor, whose reference is a copy of it.
     """
+    end = np.cumsum(sizes)
+    begin, owner = end - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(values))
+    room = end[owner] - place
+    longest, source = longest_matches(mix64(values ^ mix64(block.astype(np.uint64))[owner]), owner, room)
+    whole = copies[owner] > 1
+    longest[whole], source[whole] = room[whole], place[whole]
+    following = np.minimum.accumulate(np.where(longest > 0, place, len(values))[::-1])[::-1]
+    live, at, found = np.flatnonzero(sizes > 0), begin.copy(), []
+    while len(live):
+        start = following[at[live]]
+        live, start = live[start < end[live]], start[start < end[live]]
+        found.append((live, start))
+        at[live] = start + longest[start]
+        live = live[at[live] < end[live]]
+    phrase, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (place, place)
+    order = np.argsort(start, kind="stable")
+    phrase, start = phrase[order], start[order]
+    return Factors(phrase, start - begin[phrase], longest[start], owner[source[start]], source[start] - begin[owner[source[start]]])
+
+
+def covered(found: Factors, sizes: np.ndarray) -> np.ndarray:
+    """The windows in factors, for the windows of all phrases one after the other."""
+    first = (np.cumsum(sizes) - sizes)[found.phrase] + found.start
+    edge = np.zeros(int(sizes.sum()) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + found.length, -1)
+    return np.cumsum(edge[:-1]) > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
 
-        def flush(rows: list) -> list:
-            if len(rows) == 1 and rows[0][2] > 1:
-                return [(last, rows[0][0], np.packbits(np.ones(len(rows[0][1]) // 8, np.uint8)).tobytes())]
-            marks = factors([np.frombuffer(r[1], np.uint64) for r in rows], [r[2] for r in rows])
-            return [(last, r[0], np.packbits(m).tobytes()) for r, m in zip(rows, marks, strict=True) if m.any()]
+def _parse_blocks(distinct: DataFrame) -> DataFrame:
+    """anchor, phrase, marks (a bit for each window): the phrases with any factor in their block.
 
-        def batch_of(out: list) -> pa.RecordBatch:
-            a, p, m = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(m, pa.binary())], names=["anchor", "phrase", "marks"])
+    ``distinct`` has anchor, phrase, windows, copies, and comes partitioned and sorted by anchor; besides one batch of rows,
+    one block is held at a time.
+    """
+    names = ["anchor", "phrase", "marks"]
+
+    def parsed(rows: pa.Table) -> pa.RecordBatch:
+        raw = rows["windows"].combine_chunks().to_pylist()
+        sizes = np.array([len(r) // 8 for r in raw], np.int64)
+        found = factors(np.frombuffer(b"".join(raw), np.uint64), sizes, rows["anchor"].to_numpy(), rows["copies"].to_numpy())
+        marks, end = covered(found, sizes), np.cumsum(sizes)
+        hit = np.unique(found.phrase)
+        bits = [np.packbits(marks[end[i] - sizes[i] : end[i]]).tobytes() for i in hit.tolist()]
+        kept = rows.select(names[:2]).take(pa.array(hit, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(pa.array(c.to_numpy(), pa.int64()) for c in kept.columns), pa.array(bits, pa.binary())], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            out = []
-            for anchor, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and rows:
-                    out += flush(rows)
-                    rows = []
-                last = anchor
-                rows.append(rest)
-            yield batch_of(out)
-        if rows:
-            yield batch_of(flush(rows))
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            anchor = held["anchor"].to_numpy()
+            closed = np.flatnonzero(anchor != anchor[-1]) if len(anchor) else anchor
+            if len(closed):
+                yield parsed(held.slice(0, closed[-1] + 1))
+                held = held.slice(closed[-1] + 1)
+        if held is not None and len(held):
+            yield parsed(held)
 
     return distinct.select("anchor", "phrase", "windows", "copies").mapInArrow(run, "anchor long, phrase long, marks binary")
 
@@ -167,7 +233,8 @@ def _parse_blocks(distinct: DataFrame) -> DataFrame:
 def _parse_hot(distinct: DataFrame) -> DataFrame:
     """What ``_parse_blocks`` gives, for anchors with more phrases than a task should hold: windows counted by Spark.
 
-    Counts are aggregated before the shuffle and no task holds more than one phrase at a time.
+    A window that occurs twice lies in some factor, and no other does, so the marks are the same. Counts are aggregated before
+    the shuffle and no task holds more than one phrase at a time.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +285,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_removed, kept_sha256: one row per row of ``docs``; copies of a text are repeated windows too.
 
     Words are runs without white space, unchanged. Null texts and texts of fewer than ``window`` words lose nothing. Null
-    and repeated ids are fine: each row counts as a document. Other columns are not read.
+    and repeated ids are fine: each row counts as a document. Other columns are not read. A text is held whole by one worker
+    at a time, some fifty bytes a character.
     """
     spark = docs.sparkSession
     texts = text_table(docs, id_col, text_col)
@@ -247,3 +315,16 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     digest = F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(cut["sha"], all_rows["sha"]))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), digest.alias("kept_sha256"))
+
+
+#: What op4 returns, in DuckDB's SQL.
+OP4_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(a[p + 1 : p + 35], ' ') AS k FROM (SELECT doc_id, a, unnest(range(0, len(a) - 34)) AS p FROM texts)),
+hits AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+covered AS (SELECT DISTINCT doc_id, p + unnest(range(0, 35)) AS p FROM hits),
+each_word AS (SELECT doc_id, unnest(a) AS word, unnest(range(0, len(a))) AS p FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each_word ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(a)::BIGINT AS n_words, (len(a) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
