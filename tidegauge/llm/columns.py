@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -19,3 +22,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def col(name: str) -> Column:
     """The column of exactly this name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped_in_arrow(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: batches have their columns in order, under plain names."""
+    plain = [StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)]
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, StructType(plain)).toDF(*schema.names)

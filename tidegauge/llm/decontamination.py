@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tidegauge.llm.columns import col, fresh
+from tidegauge.llm.columns import col, fresh, mapped_in_arrow
 
 ERROR_RATE = 0.1
 #: Characters of items that one broadcast block holds; more items mean more blocks, not a larger one.
@@ -221,5 +221,5 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 marks = [b or bool(index.matches(t.as_py(), first_only=True)) for b, t in zip(before, batch.column(at), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.bool_())], schema=batch.schema)
 
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+        out = mapped_in_arrow(out, run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
     return out

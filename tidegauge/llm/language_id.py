@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.columns import col
+from tidegauge.llm.columns import col, mapped_in_arrow
 from tidegauge.shared import materialise
 from tidegauge.llm.textbytes import chunks, fold_ascii
 
@@ -253,7 +253,7 @@ def keep_known(docs: DataFrame, model: CentroidModel, text_col: str = "text", re
             kept = [~rejected for *_, rejected in _judged(batch.column(at), shared.value, reject_cosine)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped_in_arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
