@@ -400,7 +400,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common = common_tokens(usable, keys.count(), k)
     shared = materialise(shared_signatures(usable, "text", k, percent, clashes, bits, common), "signatures")
     met = shared.select("node").distinct()
-    marks = known.join(met, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH))
+    # Copies are one row a task before the shuffle, so no node has many.
+    marks = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH)).join(met, "node", "left_semi")
     marks = materialise(marks, "marks")
     leaders, marks = marks.select("node", "doc_id"), marks.drop("doc_id")
     held = materialise(_texts_of(usable.join(_few(leaders), "doc_id"), k, clashes, bits), "texts")
