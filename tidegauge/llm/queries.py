@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm.decontamination import find_items
 from tidegauge.llm.fingerprints import edited_and_next
-from tidegauge.llm.jaccard_join import similar_documents
+from tidegauge.llm.jaccard_join import OP7_SQL, similar_documents
 from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
 from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
-from tidegauge.llm.substring_dedup import dedup_windows
+from tidegauge.llm.substring_dedup import OP4_SQL, dedup_windows
 from tidegauge.llm.suffix_dedup import dedup_bytes
 from tidegauge.llm.token_counts import count_tokens
 
@@ -24,45 +24,55 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of every document."""
     clean = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return clean.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), digest)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses of every document."""
     return edited_and_next(_docs(spark, sf_dir))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return dedup_windows(_docs(spark, sf_dir))
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     return dedup_bytes(_docs(spark, sf_dir))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
     return similar_documents(_docs(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document."""
     return identify(_docs(spark, sf_dir))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts by kind, base_sha256, spans and the number of added spans of every document."""
     found = find_personal_data(_docs(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "added")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, end_pos of every benchmark item found in a document."""
     return find_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -81,4 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op7_jaccard_join": OP7_SQL,
 }
