@@ -3,28 +3,31 @@
 The base patterns give seed entities. The words around seeds and around other identifier-like tokens are lexical patterns;
 Spark holds the graph of patterns and instances and scores it in rounds: a pattern is as good as the share of its distinct
 instances that are believed, an instance as good as its trusted patterns together. Tokens and runs of numbers with blanks
-that trusted patterns vouch for, and that look like a seed of the kind, become further spans. Base spans always stay.
+that trusted patterns vouch for, and that are of the same family of signs as a seed of the kind, become further spans. Base
+spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.scratch import materialise
+from tidegauge.shared import materialise
+from tidegauge.llm.columns import col
 from tidegauge.llm.textbytes import chunks
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct believed instances that a pattern needs; its least precision; an instance's least score.
 ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_SCORE = 3, 4, 0.8, 0.9
-#: Code points around a mention in which its context words are looked for.
-CONTEXT = 64
+#: A context word of more code points than this is no lexical pattern of its own: all of them count as one word.
+CONTEXT, LONG_WORD = 64, "…"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,6 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
+_WORD = re.compile(r"\S+")
 _RUN = re.compile(r"\+?\(?[0-9][\x20().0-9-]*[0-9]")
 _EDGE = ".,;:!?\"'()[]{}|<>#*$&%=-+"
 _MARKS = np.zeros(256, bool)
@@ -74,17 +78,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(value: str) -> str:
-    """Digits as 9 and letters as a, runs of one sign once; mixed runs of many changes as their length."""
-    flat = re.sub("a+", "a", re.sub("9+", "9", "".join("9" if c in "0123456789" else "a" if c.isalpha() else c for c in value)))
-    return re.sub("(?:9a){3,}9?|(?:a9){3,}a?", f"m{len(value)}", flat)
+def family(value: str) -> str:
+    """What a value is made of: "@" between signs, digits without letters ("9"), or digits and letters ("a9"), or neither ("a")."""
+    if "@" in value[1:-1]:
+        return "@"
+    letters, digits = any(map(str.isalpha, value)), any(c in "0123456789" for c in value)
+    return "a" * letters + "9" * digits
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a mention: its left word, two left words, right word, and left and right word."""
-    plain = lambda w: re.sub("[0-9]+", "0", w.lower()).strip(_EDGE) or w[:4]
-    left = [plain(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    right = [plain(w) for w in text[end : end + CONTEXT].split()[:1]]
+def word_edges(text: str) -> tuple[list[int], list[int]]:
+    """Where the words of a text begin and end."""
+    edges = [m.span() for m in _WORD.finditer(text)]
+    return [a for a, _ in edges], [b for _, b in edges]
+
+
+def contexts(text: str, start: int, end: int, edges: tuple[list[int], list[int]] | None = None) -> list[str]:
+    """Lexical patterns of a mention: its left word, two left words, right word, and left and right word.
+
+    A word that touches the mention counts up to it. Words are whole, those of more than CONTEXT code points are LONG_WORD.
+    """
+    starts, ends = edges or word_edges(text)
+
+    def plain(a: int, b: int) -> str:
+        if b - a > CONTEXT:
+            return LONG_WORD
+        return re.sub("[0-9]+", "0", text[a:b].lower()).strip(_EDGE) or text[a : min(b, a + 4)]
+
+    before, after = bisect_left(starts, start), bisect_right(ends, end)
+    left = [plain(starts[k], min(ends[k], start)) for k in range(max(0, before - 2), before)]
+    right = [plain(max(starts[after], end), ends[after])] if after < len(starts) else []
     out = [f"L {left[-1]}"] if left else []
     out += [f"LL {left[0]} {left[1]}"] if len(left) == 2 else []
     out += [f"R {right[0]}"] if right else []
@@ -94,7 +116,8 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of what looks like an identifier and meets no base span, by start, outer ones first.
 
-    Tokens, maximal runs of digits, blanks, brackets, dots and hyphens, and what the card and phone patterns match but drop.
+    Tokens, maximal runs of digits, blanks, brackets, dots and hyphens, and what the card and phone patterns match but drop,
+    if they hold an @ or at least four digits, as any seed does (an ip has four numbers).
     """
     found = set()
     for m in _TOKEN.finditer(text):
@@ -111,7 +134,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     for a, b, first, last in sorted(found, key=lambda c: c[2]):
         while k < len(taken) and taken[k][1] <= first:
             k += 1
-        if a < b and not (k < len(taken) and taken[k][0] < last) and b - a <= 256:
+        if a < b and not (k < len(taken) and taken[k][0] < last):
             value = text[a:b]
             if "@" in value or sum(c in "0123456789" for c in value) >= 4:
                 out.add((a, b))
@@ -123,20 +146,22 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 
     ``root`` is the start of the outermost candidate around one, ``inner`` lists the contexts that it shares with it.
     """
-    out = [{"kind": kind, "start": a, "end": b, "value": text[a:b], "shape": shape(text[a:b]), "contexts": contexts(text, a, b), "root": a, "inner": []} for a, kind, b in spans]
+    more = candidates(text, spans)
+    edges = word_edges(text) if spans or more else ([], [])
+    out = [{"kind": kind, "start": a, "end": b, "value": text[a:b], "family": family(text[a:b]), "contexts": contexts(text, a, b, edges), "root": a, "inner": []} for a, kind, b in spans]
     root, until, around = -1, -1, []
-    for a, b in candidates(text, spans):
-        own = contexts(text, a, b)
+    for a, b in more:
+        own = contexts(text, a, b, edges)
         inside = b <= until
         if not inside:
             root, until, around = a, b, own
-        out.append({"kind": -1, "start": a, "end": b, "value": text[a:b], "shape": shape(text[a:b]), "contexts": own, "root": root, "inner": [c for c in own if c in around] if inside else []})
+        out.append({"kind": -1, "start": a, "end": b, "value": text[a:b], "family": family(text[a:b]), "contexts": own, "root": root, "inner": [c for c in own if c in around] if inside else []})
     return out
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("shape", pa.string()), ("contexts", pa.list_(pa.string())), ("root", pa.int32()), ("inner", pa.list_(pa.string()))])
-_SCHEMA = "doc_id {}, text_key long, spans array<struct<start int, kind int, end int>>, mentions array<struct<kind int, start int, end int, value string, shape string, contexts array<string>, root int, inner array<string>>>"
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("family", pa.string()), ("contexts", pa.list_(pa.string())), ("root", pa.int32()), ("inner", pa.list_(pa.string()))])
+_SCHEMA = "doc_id {}, text_key long, spans array<struct<start int, kind int, end int>>, mentions array<struct<kind int, start int, end int, value string, family string, contexts array<string>, root int, inner array<string>>>"
 
 
 def base_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,28 +185,28 @@ def base_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     found.append(mentions(text, own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION))], names=["doc_id", "text_key", "spans", "mentions"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, _SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
+    return docs.select(col(id_col), col(text_col)).mapInArrow(run, _SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
 
 
 def believed_values(mentioned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_precision: float = MIN_PRECISION, min_score: float = MIN_SCORE) -> DataFrame:
     """value, kind: the instances beyond the seeds that trusted patterns vouch for, after ``rounds`` rounds.
 
-    ``mentioned`` has kind (-1: no seed), value, shape, contexts. The graph holds each (pattern, value) once, so a value or
+    ``mentioned`` has kind (-1: no seed), value, family, contexts. The graph holds each (pattern, value) once, so a value or
     a context that stands in a third of all documents counts once. A candidate inside another one doesn't count as a further
     instance of the patterns that they share.
     """
-    marked = mentioned.select("value", "shape", "inner", F.explode("contexts").alias("pattern")).withColumn("inside", F.array_contains("inner", F.col("pattern")))
-    edges = materialise(marked.groupBy("value", "shape", "pattern").agg(F.min("inside").alias("inside")), "pii-edges")
+    marked = mentioned.select("value", "family", "inner", F.explode("contexts").alias("pattern")).withColumn("inside", F.array_contains("inner", F.col("pattern")))
+    edges = materialise(marked.groupBy("value", "family", "pattern").agg(F.min("inside").alias("inside")), "pii-edges")
     counted = edges.where("not inside")
-    seeds = materialise(mentioned.where("kind >= 0").select("value", "kind", "shape").distinct(), "pii-seeds")
-    shapes = seeds.select("kind", "shape").distinct()
+    seeds = materialise(mentioned.where("kind >= 0").select("value", "kind", "family").distinct(), "pii-seeds")
+    families = seeds.select("kind", "family").distinct()
     width = counted.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
     believed = seeds.select("value", "kind").distinct()
     for _ in range(rounds):
         scored = counted.join(believed, "value").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= min_support)
         trusted = scored.join(width, "pattern").withColumn("precision", F.col("support") / F.col("n")).where(F.col("precision") >= min_precision)
         doubt = F.sum(F.log(F.lit(1.0) - F.least(F.col("precision"), F.lit(0.999))))
-        found = edges.join(trusted.select("pattern", "kind", "precision"), "pattern").join(shapes, ["kind", "shape"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= min_score)
+        found = edges.join(trusted.select("pattern", "kind", "precision"), "pattern").join(F.broadcast(families), ["kind", "family"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= min_score)
         fresh = found.join(seeds.select("value").distinct(), "value", "left_anti")
         best = fresh.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
         believed = materialise(seeds.select("value", "kind").distinct().unionByName(best), "pii-believed")
@@ -193,6 +218,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``base`` and ``spans`` list kind:start:end by start, then kind, in code points; ``added`` counts the spans beyond the
     base, of which none lies within another. Null and empty texts have none. Rows with a null or repeated id are kept apart by their text.
+    Other columns are not read. A text takes time in proportion to its length; only a text with a digit or an @ is looked at.
     """
     base = materialise(base_table(docs, id_col, text_col), "pii-base")
     mentioned = base.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
