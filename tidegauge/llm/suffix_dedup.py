@@ -4,7 +4,8 @@ The least hash of the grams of a window of bytes is its anchor; equal windows ha
 them. A maximal run of windows with one anchor is a phrase. Anchors are counted over all texts first; the ones that occur
 more than once set bits in a bitmap of fixed size, by which a second pass emits phrases only where something can repeat.
 An anchor's phrases meet in one block. Where they differ, the parts whose windows may repeat are joined into one text, its
-suffix array (linear grouping construction) brings equal windows together, and each window learns its earliest document.
+suffix array (grouping construction) brings equal windows together, and each window learns its earliest document. An anchor
+that very many texts have is not gathered in one task: Spark finds the earliest document of each of its windows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.scratch import materialise
+from tidegauge.shared import materialise
+from tidegauge.llm.columns import col
 from tidegauge.llm.suffix_groups import suffix_array
-from tidegauge.llm.textbytes import chunks, gram_hashes, mix64, span_hashes, window_minima
+from tidegauge.llm.textbytes import chunks, gram_hashes, mix64, rolling_hashes, span_hashes, window_minima
 
 #: Bytes of a window and of an anchor gram.
 WINDOW, GRAM = 50, 16
-#: Bits of the anchor bitmap: 32 for each repeated anchor, in these bounds (128 MB at most, whatever the input).
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
+#: Bits of the anchor bitmap: 16 for each repeated anchor, in these bounds (64 MB at most, whatever the input), and of one row
+#: of it on its way to the driver.
+BITS_EACH, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 16, 1 << 29, 1 << 16
+#: Texts with an anchor from which on its windows are compared by Spark; fewer have some 32 MB of phrases (84 bytes each) at most.
+HOT_TEXTS = 400_000
 #: Bytes that one suffix array is built over at most, unless one anchor's own parts are longer.
 BLOCK_BYTES = 1 << 16
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle or not used as a filter.
@@ -36,7 +41,7 @@ class Phrases:
     """The phrases of a chunk: row, anchor, start (byte of the chunk), length in windows."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = GRAM) -> None:
-        anchor = window_minima(gram_hashes(_VALUE[data], k), window - k + 1) if len(data) >= window else np.zeros(0, np.uint64)
+        anchor = window_minima(rolling_hashes(_VALUE[data], k), window - k + 1) if len(data) >= window else np.zeros(0, np.uint64)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         inside = row[: len(anchor)] == row[window - 1 :] if len(anchor) else np.zeros(0, bool)
         edge = np.r_[True, (anchor[1:] != anchor[:-1]) | ~inside[:-1] | (row[1 : len(anchor)] != row[: max(len(anchor) - 1, 0)])] if len(anchor) else inside
@@ -45,8 +50,8 @@ class Phrases:
         self.length, self.row, self.anchor = stop - self.start, row[self.start], anchor[self.start]
 
 
-def anchor_bits(texts: DataFrame, window: int = WINDOW, k: int = GRAM) -> np.ndarray:
-    """A bitmap (bytes) with the bit of each anchor set that more than one text has. Chance bits only add work later."""
+def repeated_anchors(texts: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """anchor, n: the anchors that more than one text has, and how many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,17 +60,31 @@ def anchor_bits(texts: DataFrame, window: int = WINDOW, k: int = GRAM) -> np.nda
                 one = np.unique(mix64(found.anchor ^ mix64(found.row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(found.anchor[one].view(np.int64))], names=["anchor"])
 
-    repeated = texts.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = materialise(repeated.select("anchor"), "anchors")
-    bits = LEAST_BITS
-    wanted = 32 * repeated.count()
+    return texts.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def anchor_bits(repeated: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of each anchor set. Chance bits only add work later. Tasks set the bits, the driver joins parts."""
+    bits, wanted = LEAST_BITS, BITS_EACH * repeated.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            number, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in np.unique(number).tolist():
+                parts.setdefault(part, np.zeros(PART_BITS, bool))[place[number == part]] = True
+        rows = [np.packbits(x, bitorder="little").tobytes() for x in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "bits"])
+
     place = F.col("anchor").bitwiseAND(F.lit(bits - 1))
-    held = repeated.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast((anchor & {bits - 1}L) & 63 as int))").alias("bit"))
+    placed = repeated.select(F.expr(f"cast((anchor & {bits - 1}L) div {PART_BITS} as int)").alias("part"), F.pmod(place, F.lit(PART_BITS)).cast("int").alias("place"))
+    # A task holds the parts that fall to it, 64 KB each while it sets bits.
+    table = placed.repartition(max(1, min(bits // PART_BITS, 256)), "part").mapInArrow(run, "part int, bits binary").toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    table = held.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    for part, held in zip(table["part"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        out[part * PART_BITS // 64 : (part + 1) * PART_BITS // 64] = np.frombuffer(held, np.uint64)
     return out
 
 
@@ -140,7 +159,7 @@ def _mark(rows: list[tuple[int, int, int, bool, bytes]], window: int) -> list[tu
         sizes = np.array([len(r[4]) for r in mixed])
         offsets = np.r_[0, np.cumsum(sizes)]
         owner = np.repeat(np.arange(len(mixed)), sizes)
-        whole = gram_hashes(_VALUE[data], window)
+        whole = rolling_hashes(_VALUE[data], window)
         at = np.flatnonzero(owner[: len(whole)] == owner[window - 1 :])
         code = mix64(whole[at] ^ mix64(np.array([r[0] for r in mixed], np.int64).view(np.uint64)[owner[at]]))
         _, back, times = np.unique(code, return_inverse=True, return_counts=True)
@@ -202,6 +221,40 @@ def _parse_blocks(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, phrase long, least long, marks binary")
 
 
+def _parse_hot(rows: DataFrame, window: int) -> DataFrame:
+    """What ``_parse_blocks`` gives, for anchors of very many texts: Spark finds the least id of each window.
+
+    Windows are told apart by a 64-bit hash besides their anchor. Least ids are aggregated before the shuffle, and no task
+    holds more than one batch of phrases.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            sizes = np.array([len(r) for r in raw], np.int64)
+            owner = np.repeat(np.arange(len(raw)), sizes)
+            hashes = gram_hashes(_VALUE[np.frombuffer(b"".join(raw), np.uint8)], window)
+            at = np.flatnonzero(owner[: len(hashes)] == owner[window - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+            own, place = owner[at], at - (np.cumsum(sizes) - sizes)[owner[at]]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in batch.columns[:3]), pa.array(hashes[at].view(np.int64)), pa.array(place, pa.int32()), pa.array(sizes[own] - window + 1, pa.int32())], names=["anchor", "phrase", "doc_id", "hash", "place", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for n, places in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                bits = np.zeros(n, np.uint8)
+                bits[places.values.to_numpy()] = 1
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.binary())], names=["anchor", "phrase", "marks"])
+
+    merged = materialise(rows.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("doc_id"), ((F.count(F.lit(1)) > 1) | F.bool_or("many")).alias("many"), F.first("raw").alias("raw")), "hot-phrases")
+    windows = merged.select("anchor", "phrase", "doc_id", "raw").mapInArrow(split, "anchor long, phrase long, doc_id long, hash long, place int, n int")
+    least = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
+    later = windows.join(least, ["anchor", "hash"]).where("least < doc_id").groupBy("anchor", "phrase").agg(F.first("n").alias("n"), F.collect_list("place").alias("places"))
+    marks = later.select("anchor", "phrase", "n", "places").mapInArrow(packed, "anchor long, phrase long, marks binary")
+    return merged.drop("raw").join(marks, ["anchor", "phrase"], "left").where("many or marks is not null").select("anchor", "phrase", F.col("doc_id").alias("least"), "marks")
+
+
 def _cut_texts(found: DataFrame, window: int) -> DataFrame:
     """doc_id, short, n_removed, n_spans, sha from doc_id, short, text, spans (first, length, marks or null for all)."""
 
@@ -235,17 +288,20 @@ def _filtered(df: DataFrame, ids: DataFrame, how: str, needed: bool) -> DataFram
     return df.join(ids, "doc_id", how) if needed else df
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``.
 
     A byte goes if a string of ``window`` bytes over it also starts in a document with a smaller id. Null texts count as
     empty; texts shorter than ``window`` lose nothing. Rows with a null id are neither earlier nor later than others and
     lose nothing. Rows that repeat id and text are one document; of rows that repeat an id with other texts, none is
-    earlier. Ids are whole numbers. Other columns are not read.
+    earlier. Ids of another type than whole numbers are refused. Other columns are not read. A text is held whole by one
+    worker at a time, some forty bytes a byte.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("short"))
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"dedup_bytes needs whole numbers as ids, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    text = F.coalesce(col(text_col), F.lit(""))
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("short"))
     rows = materialise(texts.select("doc_id", "short", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
     long_rows = rows.where((F.col("n_bytes") >= window) & F.col("doc_id").isNotNull())
     least = long_rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("key", "least")
@@ -254,10 +310,18 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select("doc_id")
     repeated = long_rows.groupBy("doc_id").agg(F.count_distinct("key").alias("__n")).where("__n > 1").select("doc_id")
     sources = _filtered(texts.where(F.col("doc_id").isNotNull()), once.join(repeated, "doc_id", "left_anti"), "left_anti", False)
-    bits = spark.sparkContext.broadcast(anchor_bits(sources, window, k))
+    repeated_in = materialise(repeated_anchors(sources, window, k), "anchors")
+    bits = spark.sparkContext.broadcast(anchor_bits(repeated_in))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks = _phrase_rows(sources, bits, window, k, True).repartition(n, "anchor").sortWithinPartitions("anchor", "phrase", "doc_id")
+    phrases, hot = _phrase_rows(sources, bits, window, k, True), repeated_in.where(F.col("n") > hot_texts).select("anchor")
+    n_hot = hot.limit(BROADCAST_IDS + 1).count()
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        phrases, hot_phrases = phrases.join(few, "anchor", "left_anti"), phrases.join(few, "anchor", "left_semi")
+    blocks = phrases.repartition(n, "anchor").sortWithinPartitions("anchor", "phrase", "doc_id")
     marked = _parse_blocks(blocks, window)
+    if n_hot:
+        marked = marked.unionByName(_parse_hot(hot_phrases, window))
     occurrences = _phrase_rows(sources, bits, window, k, False)
     hits = occurrences.join(marked, ["anchor", "phrase"]).where("doc_id > least or marks is not null")
     span = F.struct("first", "length", F.when(F.col("doc_id") == F.col("least"), F.col("marks")).alias("marks"))
