@@ -166,6 +166,23 @@ def test_next_across_ranges(spark):
     assert got == {i: str(j) for i, j in zip(reversed(ids), [*reversed(ids[:-1]), ids[-1]], strict=True)}
 
 
+def test_next_of_crowded_repeated_and_null_ids(spark):
+    """Ids in two far clusters, one id and the null id with very many rows: small cells, one cycle through all rows."""
+    ids = [*range(60), *range(10**15, 10**15 + 200, 2), *[10**15 + 500] * 150, *[None] * 130]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    sizes = fingerprints.cells(df.withColumn("__order", F.xxhash64("text")), "doc_id", 4).groupBy("__range", "__sub", "__turn").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 16
+    got = {(r.doc_id, r.text): (r["__next"].doc_id, r["__next"].text) for r in fingerprints.with_next(df, "doc_id", ["text", "doc_id"], range_rows=4).collect()}
+    assert len(got) == len(ids) and len(set(got.values())) == len(ids)
+    rank = lambda i: -1 if i is None else i
+    assert sum(rank(a[0]) < rank(b[0]) for a, b in got.items()) == 1
+    at, seen = next(iter(got)), set()
+    while at not in seen:
+        seen.add(at)
+        at = got[at]
+    assert len(seen) == len(ids)
+
+
 # --- 4 substring dedup
 def cut_windows(texts: dict, width: int = 35) -> dict:
     held = {i: WORD.findall(t or "") for i, t in texts.items()}
@@ -183,25 +200,36 @@ def test_substring_dedup(docs, corpus, nobody):
     assert substring_dedup.dedup_windows(nobody).count() == 0
 
 
-def test_counted_windows_are_those_of_greedy_factors():
-    """Each phrase parsed greedily into longest runs of windows that stand at another place of the block."""
+def test_factors_are_greedy_and_longest():
+    """Every factor is the longest run of windows from its place that stands elsewhere in its own block, and has a true reference."""
     rng = random.Random(21)
-    for _ in range(40):
-        block = [[rng.randrange(6) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))]
-        got = substring_dedup.factors([np.array(b, np.uint64) for b in block], [1] * len(block))
-        for p, phrase in enumerate(block):
-            covered, at = [False] * len(phrase), 0
+    for _ in range(60):
+        block = np.array(sorted(rng.randrange(3) for _ in range(rng.randint(1, 7))))
+        phrases = [[rng.randrange(6) for _ in range(rng.randint(1, 12))] for _ in block]
+        copies = np.array([rng.choice((1, 1, 1, 2)) for _ in block])
+        sizes = np.array([len(p) for p in phrases])
+        found = substring_dedup.factors(np.array([v for p in phrases for v in p], np.uint64), sizes, block, copies)
+        want, marks = [], []
+        for p, phrase in enumerate(phrases):
+            at, gone = 0, [False] * len(phrase)
             while at < len(phrase):
-                longest = 0
-                for q, other in enumerate(block):
-                    for start in range(len(other)):
+                longest = len(phrase) - at if copies[p] > 1 else 0
+                for q, other in enumerate(phrases):
+                    for start in range(len(other) if block[q] == block[p] else 0):
                         n = 0
                         while (q, start) != (p, at) and at + n < len(phrase) and start + n < len(other) and phrase[at + n] == other[start + n]:
                             n += 1
                         longest = max(longest, n)
-                covered[at : at + longest] = [True] * longest
+                if longest:
+                    want.append((p, at, longest))
+                    gone[at : at + longest] = [True] * longest
                 at += max(longest, 1)
-            assert got[p].tolist() == covered
+            marks += gone
+        assert list(zip(*(x.tolist() for x in found[:3]), strict=True)) == want
+        assert substring_dedup.covered(found, sizes).tolist() == marks
+        for p, at, n, q, start in zip(*(x.tolist() for x in found), strict=True):
+            assert phrases[p][at : at + n] == phrases[q][start : start + n] and block[p] == block[q]
+            assert (p, at) != (q, start) or copies[p] > 1
 
 
 def test_substring_dedup_of_repetitive_texts(spark):
@@ -291,6 +319,19 @@ def test_suffix_dedup_of_repetitive_texts(spark):
     check_bytes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
+def test_hot_anchors_are_compared_by_spark(spark, docs, corpus, monkeypatch):
+    """With the bound at one text no phrase that may repeat reaches a block, and rows stay the same; ids must be numbers."""
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "_parse_blocks", lambda blocks, window: suffix_dedup._parse_hot(blocks.where("false"), window))
+        got = rows_of(suffix_dedup.dedup_bytes(docs, hot_texts=1))
+    want = cut_bytes(dict(corpus))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    got = rows_of(suffix_dedup.dedup_bytes(docs, hot_texts=4))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 # --- 7 n-gram Jaccard join
 def groups_of(texts: dict, k: int = 4, percent: int = 85) -> dict:
     sets = {}
@@ -341,10 +382,57 @@ def test_jaccard_join_near_the_threshold(spark):
 
 
 def test_every_allocation_covers_its_band():
-    for b in jaccard_join.bands()[:60]:
-        most = max(15 * (b.high + 100 * b.high // 85) // 185, 0)
-        worth = b.segments * (2 if b.deletions else 1)
-        assert b.segments == 0 and most == 0 or worth >= most + 1 + b.spare
+    for percent in (80, 85):
+        for b in jaccard_join.bands(percent)[:60]:
+            most = max((100 - percent) * (b.high + 100 * b.high // percent) // (100 + percent), 0)
+            worth = b.segments * (2 if b.deletions else 1)
+            assert b.segments == 0 and most == 0 or worth >= most + 1 + b.spare
+
+
+def test_jaccard_join_of_texts_around_a_common_passage(spark):
+    """Most tokens are common ones; links at 5 words and 80 %."""
+    rng = random.Random(31)
+    passage, texts = prose(rng, 40), {}
+    for i in range(60):
+        texts[i] = f"{prose(rng, rng.randint(1, 30))} {passage} {prose(rng, rng.randint(0, 12))}"
+        if i % 3 == 2:
+            words = texts[i - 1].split()
+            words[rng.randrange(len(words))] = f"n{i}"
+            texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(jaccard_join.common_tokens(df, len(texts), 5)) > 20
+    got = rows_of(jaccard_join.similar_documents(df, k=5, percent=80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == groups_of(texts, 5, 80)
+
+
+def test_jaccard_join_with_nodes_that_clash(spark, docs, corpus):
+    """Different sets share most of the nodes of six bits at first."""
+    got = rows_of(jaccard_join.similar_documents(docs, bits=6))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == groups_of(dict(corpus))
+
+
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 50), prose(rng, 50)
+    df = spark.createDataFrame([(None, a), (None, a), (3, a), (3, b), (3, a), (7, b), (9, f"{a} more")], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.similar_documents(df).collect()), key=str)
+    assert got == sorted([(None, 47, None)] * 2 + [(3, 47, 3)] * 3 + [(7, 47, 3), (9, 48, 3)], key=str)
+
+
+def structured(n: int, a: str = "a", b: str = "b") -> str:
+    """The word over two letters that polynomial hashes modulo a power of two can't tell from its complement."""
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_regular_structure_are_told_apart(spark, n):
+    one, other = structured(n), structured(n, "b", "a")
+    texts = {1: one, 2: other, 3: " ".join([one] * 35), 4: " ".join([other] * 35), 5: " ".join(structured(n // 16)), 6: " ".join(structured(n // 16, "b", "a"))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_groups(df, texts)
+    got = rows_of(substring_dedup.dedup_windows(df))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == cut_windows(texts)
+    check_bytes(df, texts)
 
 
 def test_components(spark):
@@ -477,6 +565,47 @@ def test_contexts_find_numbers_with_blanks(spark):
     assert all(r["added"] == 0 and r["spans"] == r["base"] for i, r in got.items() if i != 40)
 
 
+def test_recall_of_planted_identifiers_of_every_kind(spark):
+    """Identifiers that no base pattern matches, some unlike every seed, stand where most of their kind are seeds."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card() -> str:
+        while not personal_data.passes_luhn(digits := "4" + number(15)):
+            pass
+        return digits
+
+    kinds = {
+        "email": ("write-to:", lambda: f"{word()}@{word()}.example.org", lambda: f"{word()}@{word()}"),
+        "ip": ("from-host:", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", lambda: f"10.{rng.randrange(300, 999)}.{rng.randrange(256)}.{rng.randrange(256)}"),
+        "card": ("card-number:", card, lambda: f"{number(6)}-{number(5)}"),
+        "phone": ("call-me:", lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: f"{number(3)}-{number(4)}"),
+    }
+    texts, want = [], []
+    for kind, (lead, seed, unseen) in kinds.items():
+        for k in range(60):
+            hidden = k % 12 == 0
+            value, head = unseen() if hidden else seed(), f"{prose(rng, rng.randint(2, 9))} {lead} "
+            want += [(len(texts), f"{kind}:{len(head)}:{len(head) + len(value)}")] if hidden else []
+            texts.append(f"{head}{value} {prose(rng, 4)}")
+    for _ in range(40):
+        texts.append(f"{prose(rng, 5)} lot {number(9)} {prose(rng, 5)} {word()}@{word()} {prose(rng, 3)}")
+    got = rows_of(personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = sum(span in got[i]["spans"].split(",") for i, span in want)
+    assert found >= 0.9 * len(want), (found, len(want))
+    assert sum(r["added"] for r in got.values()) == found and all(got[i]["added"] == 0 for i in range(240, 280))
+
+
+def test_context_words_are_whole():
+    near, far = "w" * 60, "v" * 65
+    text = f"{far} {near} ip=1.2.3.4, {near} b"
+    at = text.index("1.2.3.4")
+    assert personal_data.contexts(text, at, at + 7) == ["L ip", f"LL {near} ip", "R ,", "LR ip ,"]
+    assert personal_data.contexts(text, 66 + 61, at + 7) == [f"L {near}", f"LL {personal_data.LONG_WORD} {near}", "R ,", f"LR {near} ,"]
+    assert personal_data.contexts(text, 0, 65) == [f"R {near}"] and personal_data.contexts("x", 0, 1) == []
+
+
 # --- 10 decontamination
 def edit_distance(pattern: str, text: str) -> int:
     row = [0] * (len(text) + 1)
