@@ -216,3 +216,26 @@ def test_scratch_folder_on_a_cluster():
         scratch_dir(bare)
     bare.conf = SimpleNamespace(get=lambda key, other: "hdfs://x/shared/")
     assert scratch_dir(bare) == "hdfs://x/shared"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Version and tables on stdout; an unknown query is an error and unreadable settings a warning on stderr."""
+    from tidegauge import __version__
+    from tidegauge.__main__ import main
+    from tidegauge.sources.settings import default_path
+
+    with pytest.raises(SystemExit) as end:
+        main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out.strip() == __version__
+    assert main(["--show", "no_such_query", str(tmp_path)]) == 1 and "no_such_query" in capsys.readouterr().err
+    (tmp_path / "bad.json").write_text("{")
+    assert main(["--settings", str(tmp_path / "bad.json")]) == 0
+    said = capsys.readouterr()
+    assert "warning" in said.err and '"max_processes": 50' in said.out
+    assert str(default_path("/home/x")) == "/home/x/.config/tidegauge/settings.json"
+
+
+def test_first_of_and_unit_helpers(spark):
+    row = spark.range(1).select(derived.first_of(F.array(F.lit(3), F.lit(4))).alias("a"), derived.first_of(F.array().cast("array<int>")).alias("b"), derived.gigahertz(F.lit(2400.0)).alias("c"), derived.thread_count(F.lit(4), F.lit(2)).alias("d"))
+    assert tuple(row.first()) == (3, None, 2.4, 8)
+

@@ -42,3 +42,20 @@ def test_streams_without_rows(spark, tmp_path):
         rings.drained(rings.tumbling_counts(stream), "none", "complete"),
     ]
     assert [df.count() for df in outs] == [0] * 4
+
+
+def test_trigger_at_the_settings_interval(spark, tmp_path):
+    """A stream that ticks at the update interval takes in files as they come."""
+    schema = "series long, event_id long, value double"
+    frame = lambda k: spark.createDataFrame([(1, k, float(k))], schema)
+    frame(1).write.parquet(f"{tmp_path}/in/1")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = rings.every(rings.latest_stream(stream).writeStream.outputMode("complete").format("memory").queryName("ticks"), 500_000_000).start()
+    try:
+        query.processAllAvailable()
+        frame(2).write.parquet(f"{tmp_path}/in/2")
+        query.processAllAvailable()
+        assert spark.table("ticks").collect()[0].event_id == 2
+    finally:
+        query.stop()
+
