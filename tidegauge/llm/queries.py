@@ -12,6 +12,7 @@ from tidegauge.llm.fingerprints import edited_and_next
 from tidegauge.llm.jaccard_join import OP7_SQL, similar_documents
 from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
+from tidegauge.llm.periodic_runs import OP13_SQL, periodic_runs, run_digests, with_repeats
 from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
 from tidegauge.llm.substring_dedup import OP4_SQL, dedup_windows
@@ -76,6 +77,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli of the longest run, two digests, of every document with its repeats."""
+    return run_digests(periodic_runs(with_repeats(_docs(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -87,10 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
