@@ -11,30 +11,31 @@ agree on, the greatest stands above s others in both, so both keep it. The order
 empty ones, and those that only hold tokens which very many documents have.
 
 Equal sets are one node from the start. Nodes that share a signature form a group; rather than all its pairs, a group
-tests one node of each component against one of its leading component, round by round, and only pairs of nodes that are
-still in different components after that are all tested.
+tests one node of each component against one of its leading component, round by round. What is still in different components after
+that is paired by ``crowded_pairs``: all pairs of a small group, those that share a rare token of a crowded one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm import textbytes
 from tidegauge.llm.columns import col
 from tidegauge.llm.components import connected_components
+from tidegauge.llm.crowded_pairs import CROWDED, open_pairs
 from tidegauge.llm.textbytes import fold_ascii, gram_hashes, mix64, span_hashes, words
 from tidegauge.shared import materialise
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
-#: Most rounds of testing between components before all remaining pairs are tested; a round without a link ends them too.
+#: Most rounds of testing between components before remaining pairs are tested; a round without a link ends them too.
 HUB_ROUNDS = 2
 #: Rows up to which a table of ids is broadcast (16 MB); a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -220,14 +221,14 @@ def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long, half long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def named_sets(texts: DataFrame, k: int = SHINGLE, bits: int = 64) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
-    """``document_keys`` of the texts such that different sets have different nodes, and the clashes that this took.
+def named_sets(texts: DataFrame, k: int = SHINGLE, bits: int = 64, table: Callable[..., DataFrame] = document_keys) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """``table`` (by default document_keys) of the texts such that different sets have different nodes, and the clashes that this took.
 
     Of n sets some n * n / 2 ** 65 pairs clash (270 of 10 ** 11 sets); only these few nodes come to the driver.
     """
     clashes: tuple[np.ndarray, ...] = ()
     while True:
-        keys = materialise(document_keys(texts, k=k, clashes=clashes, bits=bits), "set-keys")
+        keys = materialise(table(texts, k=k, clashes=clashes, bits=bits), "set-keys")
         shared = keys.groupBy("node").agg(F.min("half").alias("low"), F.max("half").alias("high")).where("low != high")
         found = shared.select("node").toArrow()["node"].to_numpy()
         if not len(found):
@@ -274,10 +275,16 @@ def shared_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE,
                 owner, signature = signatures(row[kept], token[kept], np.where(fresh, size, 0), percent, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[owner])], names=["signature", "node"])
 
-    rows = docs.select(text_col).mapInArrow(run, "signature long, node long")
-    same = Window.partitionBy("signature")
-    met = rows.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where("low != high")
-    return met.select("signature", "node").distinct()
+    return shared_only(materialise(docs.select(text_col).mapInArrow(run, "signature long, node long"), "all-signatures"))
+
+
+def shared_only(rows: DataFrame) -> DataFrame:
+    """signature, node: each once, of the signatures that at least two different nodes have.
+
+    Signatures are counted first, then their rows are picked by a join, whose crowded signatures Spark can split.
+    """
+    met = rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("signature")
+    return rows.join(met, "signature").select("signature", "node").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -317,10 +324,32 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def linked_nodes(shared: DataFrame, marks: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
+Screen = Callable[[DataFrame], DataFrame]
+
+
+def by_sketches(marks: DataFrame, percent: int = PERCENT) -> Screen:
+    """Leaves out pairs that can't link by size and sketch (``marks``: node, n, s0, ...)."""
+    theirs = [f"t{i}" for i in range(SKETCH_WORDS)]
+    other = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(d) for c, d in zip(SKETCH, theirs, strict=True)))
+    return lambda pairs: pairs.join(other, "b").join(marks.withColumnRenamed("node", "a"), "a").where(_may_link("n", "m", SKETCH, theirs, percent)).select("a", "b")
+
+
+def tokens_of(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """node, token: the set of each row of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in chunks(batch.column(1)):
+                row, token = shingle_sets(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), pa.array(token.view(np.int64))], names=["node", "token"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, token long")
+
+
+def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen: Screen, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS, crowded: int = CROWDED) -> DataFrame:
     """node, component of all nodes of ``shared`` (signature, node), linked where sets are similar enough.
 
-    ``marks`` has each node's size and sketch, by which most pairs that can't link are left out before texts are fetched.
+    ``sizes`` has each node's set size n; ``screen`` leaves out pairs (a, b) that can't link before texts are fetched.
     """
     nodes = shared.select("node").distinct()
     parts, links, tested = nodes.withColumn("component", F.col("node")), None, None
@@ -328,7 +357,7 @@ def linked_nodes(shared: DataFrame, marks: DataFrame, texts: DataFrame, k: int =
         # A component's envoy differs from signature to signature and from round to round.
         envoys = shared.join(parts, "node").groupBy("signature", "component").agg(F.min_by("node", F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
         lead = envoys.groupBy("signature").agg(F.min(F.struct("component", "envoy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("signature", "lead")
-        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested, marks, percent)
+        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested, screen)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, k, percent), "links")
         if not found.limit(1).count():
@@ -337,24 +366,17 @@ def linked_nodes(shared: DataFrame, marks: DataFrame, texts: DataFrame, k: int =
         parts = _merged(parts, found)
     placed = materialise(shared.join(parts, "node"), "placed")
     still = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
-    left = materialise(placed.join(still, "signature").join(marks, "node"), "open")
+    left = materialise(placed.join(still, "signature").join(sizes.select("node", "n"), "node"), "open")
     if left.limit(1).count():
-        theirs = [f"t{i}" for i in range(SKETCH_WORDS)]
-        right = left.select("signature", F.col("node").alias("y"), F.col("component").alias("its"), F.col("n").alias("m"), *(F.col(a).alias(b) for a, b in zip(SKETCH, theirs, strict=True)))
-        met = left.withColumnRenamed("node", "x").join(right, "signature").where((F.col("component") < F.col("its")) & _may_link("n", "m", SKETCH, theirs, percent))
-        pairs = _untested(met.select("x", "y"), tested)
+        pairs = _untested(open_pairs(left, tokens_of(texts, k), percent, crowded), tested, screen)
         found = materialise(verified(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
     return parts if links is None else _joined(parts, links)
 
 
-def _untested(pairs: DataFrame, tested: DataFrame | None, marks: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
-    """Each pair (a < b) once, without those of ``tested`` and, given ``marks``, those that can't link."""
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if marks is not None:
-        theirs = [f"t{i}" for i in range(SKETCH_WORDS)]
-        other = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(d) for c, d in zip(SKETCH, theirs, strict=True)))
-        pairs = pairs.join(other, "b").join(marks.withColumnRenamed("node", "a"), "a").where(_may_link("n", "m", SKETCH, theirs, percent)).select("a", "b")
+def _untested(pairs: DataFrame, tested: DataFrame | None, screen: Screen) -> DataFrame:
+    """Each pair (a < b) once, without those of ``tested`` and those that can't link."""
+    pairs = screen(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
@@ -394,37 +416,50 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     keys, clashes = named_sets(texts, k, bits)
-    known = keys.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("node", "half").agg(F.min("doc_id").alias("least"))
     usable = texts.where("doc_id is not null")
     common = common_tokens(usable, keys.count(), k)
     shared = materialise(shared_signatures(usable, "text", k, percent, clashes, bits, common), "signatures")
-    met = shared.select("node").distinct()
     # Copies are one row a task before the shuffle, so no node has many.
-    marks = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SKETCH)).join(met, "node", "left_semi")
+    marks = one_per_node(keys, SKETCH).join(shared.select("node").distinct(), "node", "left_semi")
     marks = materialise(marks, "marks")
-    leaders, marks = marks.select("node", "doc_id"), marks.drop("doc_id")
-    held = materialise(_texts_of(usable.join(_few(leaders), "doc_id"), k, clashes, bits), "texts")
-    parts = linked_nodes(shared, marks, held, k, percent)
+    return grouped(keys.drop(*SKETCH), marks, shared, usable, by_sketches(marks.drop("doc_id"), percent), k, percent, clashes, bits)
+
+
+def one_per_node(keys: DataFrame, more: list[str]) -> DataFrame:
+    """node, doc_id (the least), n and the columns ``more`` of each node that a row with an id has."""
+    return keys.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in more))
+
+
+def grouped(keys: DataFrame, marks: DataFrame, shared: DataFrame, texts: DataFrame, screen: Screen, k: int, percent: int, clashes: tuple[np.ndarray, ...], bits: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of ``keys`` (doc_id, n_shingles, node, half), linked among the nodes of ``shared``.
+
+    ``marks`` has node, doc_id and n of these nodes, ``texts`` the doc_id and text of all rows with an id.
+    """
+    leaders = marks.select("node", "doc_id")
+    held = materialise(_texts_of(texts.join(_few(leaders), "doc_id"), k, clashes, bits), "texts")
+    parts = linked_nodes(shared, marks, held, screen, k, percent)
     least = parts.join(leaders, "node").groupBy("component").agg(F.min("doc_id").alias("part_id"))
+    classes = keys.where("n_shingles > 0 and doc_id is not null").groupBy("node", "half").agg(F.min("doc_id").alias("least"))
     named = materialise(classes.join(parts.join(least, "component").select("node", "part_id"), "node", "left").select("node", "half", F.coalesce("part_id", "least").alias("component_id")), "classes")
-    out = keys.drop(*SKETCH).join(named, ["node", "half"], "left")
+    out = keys.join(named, ["node", "half"], "left")
     found = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"))
 
 
-#: What op7 returns, in DuckDB's SQL: all pairs that share a shingle, and all that links reach.
-OP7_SQL = r"""
+#: The groups of near-duplicates in DuckDB's SQL: all pairs that share a shingle, and all that links reach.
+_GROUPS_SQL = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
 grams AS (
-  SELECT DISTINCT doc_id, array_to_string(a[p + 1 : p + 4], ' ') AS k
-  FROM (SELECT doc_id, a, unnest(range(0, greatest(len(a) - 3, least(len(a), 1)))) AS p FROM texts)),
+  SELECT DISTINCT doc_id, array_to_string(a[p + 1 : p + $K], ' ') AS k
+  FROM (SELECT doc_id, a, unnest(range(0, greatest(len(a) - $K + 1, least(len(a), 1)))) AS p FROM texts)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (k) WHERE x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
-SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id$MORE
 FROM texts t LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) m USING (doc_id)
 """
+OP7_SQL = _GROUPS_SQL.replace("$K", "4").replace("$MORE", "")
+OP11_SQL = _GROUPS_SQL.replace("$K", "5").replace("$MORE", ", t.doc_id = m.component_id AS kept")
