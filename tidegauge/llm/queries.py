@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm.decontamination import find_items
 from tidegauge.llm.fingerprints import edited_and_next
-from tidegauge.llm.jaccard_join import OP7_SQL, similar_documents
+from tidegauge.llm.hard_negatives import OP12_SQL, hard_negatives
+from tidegauge.llm.jaccard_join import OP7_SQL, OP11_SQL, similar_documents
 from tidegauge.llm.language_id import identify
 from tidegauge.llm.line_dedup import OP2_SQL, dedup_lines
+from tidegauge.llm.minhash_dedup import near_duplicates
 from tidegauge.llm.periodic_runs import OP13_SQL, periodic_runs, run_digests, with_repeats
 from tidegauge.llm.personal_data import find_personal_data
 from tidegauge.llm.piece_codec import encode_decode
@@ -77,6 +79,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return near_duplicates(_docs(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id and both scores; anchors are the rows whose vec_id is divisible by 50."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_runs, start, length, period, exponent_milli of the longest run, two digests, of every document with its repeats."""
     return run_digests(periodic_runs(with_repeats(_docs(spark, sf_dir))))
@@ -93,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -100,5 +115,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op11_minhash_dedup": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
