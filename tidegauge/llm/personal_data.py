@@ -34,7 +34,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_MARK = re.compile("[0-9@]")
 _WORD = re.compile(r"\S+")
 _RUN = re.compile(r"\+?\(?[0-9][\x20().0-9-]*[0-9]")
 _EDGE = ".,;:!?\"'()[]{}|<>#*$&%=-+"
@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, sorted; failing matches are dropped without another try."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(n) <= 3 and int(n) <= 255 for n in (p.lstrip("0") or "0" for p in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
@@ -120,7 +120,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     if they hold an @ or at least four digits, as any seed does (an ip has four numbers).
     """
     found = set()
-    for m in _TOKEN.finditer(text):
+    for m in (m for m in _WORD.finditer(text) if _MARK.search(text, *m.span())):
         a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
         found.add((a, m.end() - (len(m[0]) - len(m[0].rstrip(_EDGE))), m.start(), m.end()))
     for pattern in (_RUN, _CARD, *([_PHONE] if "+" in text else [])):
