@@ -53,7 +53,7 @@ class _Unassigned(Exception):
 
 
 class LengthTable(dict):
-    """pre-token -> number of tokens; what is missing is encoded and kept, up to a bound."""
+    """pre-token -> number of tokens; what is missing is encoded and, unless it is long, kept up to a bound of entries."""
 
     def __init__(self, frequent: dict[str, int], tokenizer, bound: int = CACHE_ENTRIES) -> None:
         super().__init__(frequent)
@@ -63,6 +63,8 @@ class LengthTable(dict):
         if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
             raise _Unassigned
         n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) > ENTRY_BYTES:
+            return n
         if len(self) >= self.most:
             self.clear()
             self.update(self.frequent)
