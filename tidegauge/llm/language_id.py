@@ -24,8 +24,10 @@ from tidegauge.llm.textbytes import chunks, fold_ascii
 
 #: Hashed dimensions (a power of two) and centroids a language.
 DIMENSIONS, CENTROIDS = 4096, 4
-#: Bound of the fit: training rows of each language, languages (the most frequent ones), and rows of all languages together.
-FIT_ROWS, FIT_LANGUAGES, FIT_TOTAL = 400, 64, 12_800
+#: Bound of the fit: training rows of each language, and of all together (but one of each language at least).
+FIT_ROWS, FIT_TOTAL = 400, 12_800
+#: Languages up to which the table of their counts is broadcast.
+FEW_LANGUAGES = 100_000
 #: Rows of a chunk: a row takes DIMENSIONS numbers, however short its text is.
 CHUNK_ROWS = 256
 #: A text whose cosine to its closest centroid is under this is rejected, however short it is.
@@ -152,19 +154,18 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def training_rows(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
-    """lang, text: at most ``rows`` rows of each of the FIT_LANGUAGES most frequent languages, FIT_TOTAL in all, chosen by hash.
+    """lang, text: at most ``rows`` rows of every language, FIT_TOTAL in all or one of each language, chosen by hash.
 
-    Languages are counted first, so that a hash bound leaves little more than that many rows of each before any of them meet.
-    Rows with null id, text or language aren't chosen; rows that repeat others count as rows.
+    Languages are counted first, so that a hash bound leaves little more than that many rows of each before any of them meet,
+    and always those of the least hash. Rows with null id, text or language aren't chosen; rows that repeat others count as rows.
     """
     names = [(id_col, "id"), (text_col, "text"), (lang_col, "lang")]
     usable = train.select(*(col(c).alias(n) for c, n in names)).where("id is not null and text is not null and lang is not null")
-    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()
-    most = max(1, min(rows, FIT_TOTAL // max(len(common), 1)))
-    turn, shares = F.xxhash64("id"), F.lit(None).cast("double")
-    for lang, n in common:
-        shares = F.when(F.col("lang") == lang, (most + 6 * most**0.5 + 10) / n).otherwise(shares)
-    few = usable.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 30)) < shares * (1 << 30))
+    usable = usable.withColumn("turn", F.xxhash64("id")).withColumn("share", F.pmod("turn", F.lit(1 << 30)))
+    counted = materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("share").alias("least")), "languages")
+    languages = counted.count()
+    most = max(1, min(rows, FIT_TOTAL // max(languages, 1)))
+    few = usable.join(F.broadcast(counted) if languages <= FEW_LANGUAGES else counted, "lang").where((F.col("share") < (most + 6 * most**0.5 + 10) / F.col("n") * (1 << 30)) | (F.col("share") == F.col("least")))
     order = Window.partitionBy("lang").orderBy("turn", "id", "text")
     return few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("lang", "text")
 
