@@ -115,3 +115,40 @@ def test_sql_of_operators(spark, name):
     ours, theirs = queries.QUERIES[name](spark, folder).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     ours, theirs = (d.sort_values("doc_id").reset_index(drop=True)[sorted(theirs.columns)] for d in (ours, theirs))
     assert (ours == theirs).all().all()
+
+
+def test_personal_data_in_very_long_words_and_numbers(spark):
+    """Thousands of zeros in a part of an ip, and megabytes of letters without a blank, beside something to find."""
+    zeros, letters = "0" * 5000, "x" * (1 << 20)
+    parts = [["1"] * 4 for _ in range(5)]
+    for k in range(4):
+        parts[k][k] = f"{zeros}7"
+    parts[4][2] = "9" * 5000
+    rows = [(k, f"at {'.'.join(p)} end") for k, p in enumerate(parts)] + [(5, f"{letters} 5"), (6, f"{letters}@b.cd 10.0.0.1"), (7, f"{letters}7{letters} a@b.cd"), (8, f"0.0.0.{zeros}")]
+    began = time.time()
+    got = {r.doc_id: r for r in personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_ip for k in range(9)] == [1, 1, 1, 1, 0, 0, 1, 0, 1] and [got[k].n_email for k in (5, 6, 7)] == [0, 1, 1]
+    assert got[0].base == f"ip:3:{3 + 5001 + 6}" and got[6].base.startswith(f"email:0:{len(letters) + 5},")
+    assert time.time() - began < 60
+
+
+def test_long_pre_tokens_are_not_kept():
+    class Counter:
+        def encode(self, piece, add_special_tokens):
+            return type("E", (), {"ids": [0] * len(piece)})
+
+    table = token_counts.LengthTable({"a": 1}, Counter())
+    assert table["b" * 1000] == 1000 and table["b" * 10] == 10 and set(table) == {"a", "b" * 10}
+
+
+def test_every_language_is_learnt(spark):
+    """Seventy languages of their own letters, one of them with a single id: each is predicted for its own texts."""
+    rng = random.Random(6)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(4))
+    rows = [(1000 * k + j if k else 77, " ".join(word(k) for _ in range(30)), f"l{k}") for k in range(70) for j in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = {r.lang for r in language_id.training_rows(df, rows=5).collect()}
+    assert len(chosen) == 70
+    model = language_id.fit(df, rows=10)
+    got = {(r.doc_id, r.lang_pred) for r in language_id.predict(df, model).collect()}
+    assert sum((i, lang) in got for i, _, lang in rows) > 0.97 * len(rows)
