@@ -71,6 +71,13 @@ def test_share_of_equal_values_is_the_similarity():
         assert abs((values[0] == values[2]).mean() - s) < 4 * (s * (1 - s) / minhash_dedup.VALUES) ** 0.5 and not values[1].any()
 
 
+def test_bands_lose_no_link_to_speak_of():
+    assert minhash_dedup.banding(85) == (40, 5)
+    for percent in (50, 70, 80, 85, 95):
+        bands, width = minhash_dedup.banding(percent)
+        assert bands * width <= minhash_dedup.BANDED and (1 - (percent / 100) ** width) ** bands <= 1e-9
+
+
 def test_posterior_bounds():
     """The fewest matches that stay: the posterior chance of a link is the miss probability at least, and below it with one match less."""
     from math import comb

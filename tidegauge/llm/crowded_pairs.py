@@ -57,8 +57,9 @@ def open_pairs(groups: DataFrame, tokens: DataFrame, percent: int, crowded: int
     """
     held = groups.groupBy("signature").agg(F.count(F.lit(1)).alias("__nodes"))
     few = groups.join(held.where(F.col("__nodes") <= crowded), "signature")
-    other = few.select("signature", F.col("node").alias("y"), F.col("component").alias("its"))
-    near = few.withColumnRenamed("node", "x").join(other, "signature").where("component < its").select("x", "y")
+    other = few.select("signature", F.col("node").alias("y"), F.col("component").alias("its"), F.col("n").alias("m"))
+    alike = F.expr(f"component < its and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    near = few.withColumnRenamed("node", "x").join(other, "signature").where(alike).select("x", "y")
     many = materialise(groups.join(held.where(F.col("__nodes") > crowded), "signature").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n")), "crowded")
     if not many.limit(1).count():
         return near

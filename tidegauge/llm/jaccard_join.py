@@ -157,11 +157,16 @@ def parity_sketches(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray
     return np.packbits((count & 1).astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
 
 
+def _like_sizes(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _may_link(n: str, m: str, s: list[str], t: list[str], percent: int) -> Column:
     """Whether two sets can be similar enough by their sizes and sketches; exact: no pair that links fails it."""
     n, m = F.col(n), F.col(m)
     apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(s, t, strict=True)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+    return _like_sizes(n, m, percent) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def signatures(row: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -351,13 +356,14 @@ def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen:
 
     ``sizes`` has each node's set size n; ``screen`` leaves out pairs (a, b) that can't link before texts are fetched.
     """
-    nodes = shared.select("node").distinct()
-    parts, links, tested = nodes.withColumn("component", F.col("node")), None, None
+    parts = shared.select("node").distinct().join(sizes.select("node", "n"), "node").withColumn("component", F.col("node"))
+    links, tested = None, None
     for turn in range(rounds):
         # A component's envoy differs from signature to signature and from round to round.
-        envoys = shared.join(parts, "node").groupBy("signature", "component").agg(F.min_by("node", F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
+        envoys = shared.join(parts, "node").groupBy("signature", "component").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "signature", F.lit(turn)) if turn else F.col("node")).alias("envoy"))
         lead = envoys.groupBy("signature").agg(F.min(F.struct("component", "envoy")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("signature", "lead")
-        pairs = _untested(envoys.join(lead, "signature").where("component != lead.component").select(F.col("lead.envoy").alias("x"), F.col("envoy").alias("y")), tested, screen)
+        alike = envoys.join(lead, "signature").where("component != lead.component").where(_like_sizes(F.col("lead.envoy.n"), F.col("envoy.n"), percent))
+        pairs = _untested(alike.select(F.col("lead.envoy.node").alias("x"), F.col("envoy.node").alias("y")), tested, screen)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(verified(pairs, texts, k, percent), "links")
         if not found.limit(1).count():
@@ -366,7 +372,7 @@ def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen:
         parts = _merged(parts, found)
     placed = materialise(shared.join(parts, "node"), "placed")
     still = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
-    left = materialise(placed.join(still, "signature").join(sizes.select("node", "n"), "node"), "open")
+    left = materialise(placed.join(still, "signature"), "open")
     if left.limit(1).count():
         pairs = _untested(open_pairs(left, tokens_of(texts, k), percent, crowded), tested, screen)
         found = materialise(verified(pairs, texts, k, percent), "links")
@@ -394,7 +400,7 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     lower = _component_links(parts, links).groupBy(F.col("b").alias("component")).agg(F.min("a").alias("into"))
     beyond = lower.select(F.col("component").alias("into"), F.col("into").alias("beyond"))
     lower = lower.join(beyond, "into", "left").select("component", F.coalesce("beyond", "into").alias("into"))
-    return materialise(parts.join(lower, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "parts")
+    return materialise(parts.join(lower, "component", "left").select("node", "n", F.coalesce("into", "component").alias("component")), "parts")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ from tidegauge.shared import materialise
 
 #: Words of a shingle; least similarity in hundredths.
 SHINGLE, PERCENT = 5, 85
-#: Bands and values of each; further values. A pair of similarity 0.85 meets in no band with a chance of 5.6e-11.
-BANDS, BAND_VALUES, FURTHER = 32, 4, 64
+#: Values that bands are made of, further values, and most values of a band.
+BANDED, FURTHER, MOST_VALUES = 200, 56, 8
 #: Values compared at once; posterior chance of a link below which a pair is given up.
 BATCH, MISS = 32, 1e-9
-VALUES = BANDS * BAND_VALUES + FURTHER
+VALUES = BANDED + FURTHER
 _FACTORS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -64,10 +64,20 @@ def signed_sets(docs: DataFrame, k: int = SHINGLE, clashes: tuple[np.ndarray, ..
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, half long, values binary")
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
+def banding(percent: int = PERCENT, miss: float = MISS) -> tuple[int, int]:
+    """Bands, and the most values of each with which a pair at the threshold meets in none with a chance of ``miss`` at most.
+
+    For 85 %: 40 bands of five, 6.4e-11.
+    """
+    t = percent / 100
+    width = next((r for r in range(MOST_VALUES, 1, -1) if (1 - t**r) ** (BANDED // r) <= miss), 1)
+    return BANDED // width, width
+
+
+def band_rows(nodes: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """signature, node: a hash of each band of each row of ``nodes`` (node, values)."""
-    width = 2 * BAND_VALUES
-    return nodes.select(F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(values, b * {width} + 1, {width})))")).alias("signature"), "node")
+    bands, width = banding(percent, miss)
+    return nodes.select(F.explode(F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(values, b * {2 * width} + 1, {2 * width})))")).alias("signature"), "node")
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> np.ndarray:
@@ -113,8 +123,8 @@ def by_posterior(nodes: DataFrame, percent: int = PERCENT, miss: float = MISS) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links), kept (it is its own), one row per row of ``docs``.
 
-    Links are confirmed on full sets of ``k``-word shingles: 100 * intersection >= percent * union. One is lost with a chance below
-    ``miss`` a batch (and 5.6e-11 by the bands) at the threshold, and less above it. Words are runs without white space, A-Z
+    Links are confirmed on full sets of ``k``-word shingles: 100 * intersection >= percent * union. One is lost with a chance of
+    about ``miss`` a batch, and ``miss`` by the bands, at the threshold, and less above it. Words are runs without white space, A-Z
     lower-cased; a text of fewer words is one shingle. Texts without words, empty and null texts have an empty set, link with
     nothing and are kept. Rows with a null id keep their set size, have no component, link with nothing and are kept. Rows
     that repeat an id keep one row each, and the id's sets are linked through it only if they are similar. Other columns are
@@ -123,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     keys, clashes = named_sets(texts, k, bits, signed_sets)
     nodes = materialise(one_per_node(keys, ["values"]), "minhash-nodes")
-    shared = materialise(shared_only(band_rows(nodes)), "minhash-bands")
+    shared = materialise(shared_only(band_rows(nodes, percent, miss)), "minhash-bands")
     marks = materialise(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "minhash-marks")
     found = grouped(keys.drop("values"), marks, shared, texts.where("doc_id is not null"), by_posterior(marks, percent, miss), k, percent, clashes, bits)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
