@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidegauge.plans import panel_catalogue as catalogue
+from tidegauge.plans import scan_catalogue as catalogue
 
 SF = "/root/testdata/sf0.001"
 

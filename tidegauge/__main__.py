@@ -26,14 +26,14 @@ def main(argv: list[str] | None = None) -> int:
             print(f"warning: settings not read, defaults in use: {e}", file=sys.stderr)
         print(json.dumps(asdict(Settings.load(args.settings)), indent=2))
     if args.show:
-        from tidegauge.plans import panel_catalogue, render
+        from tidegauge.plans import render, scan_catalogue
         from tidegauge.session import session
 
         name, folder = args.show
-        if name not in panel_catalogue.QUERIES:
+        if name not in scan_catalogue.QUERIES:
             print(f"error: no query is called {name}", file=sys.stderr)
             return 1
-        print(render.text_table(panel_catalogue.QUERIES[name](session(), folder)))
+        print(render.text_table(scan_catalogue.QUERIES[name](session(), folder)))
     return 0
 
 
