@@ -5,11 +5,14 @@ The kind of an event is the key here: five series, each of a fifth of all sample
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.operators import segments
-from tidegauge.plans.catalogue import _GAUGES, _g
+from tidegauge.operators import percentiles, ranks, segments
+from tidegauge.operators.distinct_cube import distinct_cube
+from tidegauge.operators.interval_join import interval_join
+from tidegauge.plans.catalogue import _GAUGES, _PROC, _g
 from tidegauge.plans.panel_catalogue import ORACLE_SQL, QUERIES, _add
+from tidegauge.sources import tables
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -90,3 +93,81 @@ WITH {_GAUGES}, e AS (SELECT event_id AS error_id, ts FROM gauges WHERE core = '
 SELECT g.event_id, CASE WHEN g.ts - e.ts <= INTERVAL 5 MINUTE THEN e.error_id END AS error_id
 FROM (SELECT * FROM gauges WHERE core <> 'error') g ASOF LEFT JOIN e ON g.ts > e.ts""",
 )
+
+# --- joins of intervals -----------------------------------------------------------------------------------------------
+_add(
+    "interval_incidents",
+    _g(lambda g: interval_join(
+        g.where("core != 'error'").select("event_id", "ts"), g.where("core = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("opens"), F.expr("ts + make_dt_interval(0, 0, 0, cast(value as int) * 60)").alias("closes")),
+        ("ts", "ts"), ("opens", "closes"),
+    ).select("event_id", "error_id")),
+    f"""
+WITH {_GAUGES}, e AS (SELECT event_id AS error_id, ts AS opens, ts + to_minutes(trunc(value)::BIGINT) AS closes FROM gauges WHERE core = 'error')
+SELECT g.event_id, e.error_id FROM gauges g JOIN e ON g.ts >= e.opens AND g.ts <= e.closes WHERE g.core <> 'error'""",
+)
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, o_orderkey, begins, ends: orders from their date to their last shipment."""
+    shipped = tables.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ends"))
+    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("begins"))
+    return orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+def _open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir)
+    other = spans.toDF("o_custkey", "other_key", "other_begins", "other_ends")
+    return interval_join(spans, other, ("begins", "ends"), ("other_begins", "other_ends"), ["o_custkey"], closed=False).where("o_orderkey < other_key").select("o_custkey", "o_orderkey", "other_key")
+
+
+_SPANS = "spans AS (SELECT o_custkey, o_orderkey, o_orderdate AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
+_add("interval_open_orders", _open_together, f"WITH {_SPANS} SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_key FROM spans a JOIN spans b ON a.o_custkey = b.o_custkey AND a.s <= a.e AND b.s <= b.e AND a.s < b.e AND b.s < a.e AND a.o_orderkey < b.o_orderkey")
+_add(
+    "interval_quiet_customers",
+    lambda s, d: interval_join(
+        tables.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_orderdate"), _spans(s, d).select("o_custkey", F.col("o_orderkey").alias("open_key"), "begins", "ends").where("month(begins) < 7"),
+        ("o_orderdate", "o_orderdate"), ("begins", "ends"), ["o_custkey"], "left",
+    ).groupBy("o_orderkey").agg(F.count("open_key").alias("open_orders")),
+    f"""
+WITH {_SPANS} SELECT o.o_orderkey, count(b.o_orderkey) AS open_orders FROM orders o
+LEFT JOIN (SELECT * FROM spans WHERE month(s) < 7) b ON o.o_custkey = b.o_custkey AND b.s <= o.o_orderdate AND o.o_orderdate <= b.e WHERE o.o_orderpriority = '1-URGENT' GROUP BY o.o_orderkey""",
+)
+
+# --- ranks, percentiles, distinct counts ------------------------------------------------------------------------------
+_add(
+    "rank_samples",
+    _g(lambda g: ranks.ranked(g.withColumn("value", F.floor("value")).select("event_id", "value"), ["value"], ["event_id"], 7, True)),
+    f"""
+WITH {_GAUGES}, g AS (SELECT event_id, floor(value)::BIGINT AS value FROM gauges)
+SELECT event_id, value, row_number() OVER t AS position, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist, ntile(7) OVER t AS ntile
+FROM g WINDOW w AS (ORDER BY value DESC), t AS (ORDER BY value DESC, event_id)""",
+)
+_add(
+    "rank_kinds",
+    lambda s, d: ranks.ranked(tables.processes(s, d).select("pid", "name", "threads"), ["name", "threads"], ["pid"], 10),
+    f"""
+WITH {_PROC}
+SELECT pid, name, threads, row_number() OVER t AS position, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist, ntile(10) OVER t AS ntile
+FROM proc WINDOW w AS (ORDER BY name, threads), t AS (ORDER BY name, threads, pid)""",
+)
+_add(
+    "percentiles_by_core",
+    _g(lambda g: percentiles.exact_percentiles(g, ["core"], "value", [0.5, 0.95, 0.99])),
+    f"""
+WITH {_GAUGES}
+SELECT core, unnest([0.5, 0.95, 0.99])::DOUBLE AS share, unnest(quantile_disc(value, [0.5, 0.95, 0.99])) AS value FROM gauges GROUP BY core""",
+)
+_add(
+    "percentiles_overall",
+    _g(lambda g: percentiles.exact_percentiles(g, [], "value", [0.01, 0.25, 0.5, 0.75, 0.999], few=500)),
+    f"""
+WITH {_GAUGES}
+SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.999])::DOUBLE AS share, unnest(quantile_disc(value, [0.01, 0.25, 0.5, 0.75, 0.999])) AS value FROM gauges""",
+)
+_add(
+    "distinct_cube",
+    lambda s, d: distinct_cube(tables.processes(s, d).withColumn("kib", F.expr("memory div 4096")), ["name", "user", "threads"], "kib"),
+    f"""
+WITH {_PROC}
+SELECT name, "user", threads, grouping(name, "user", threads)::BIGINT AS grouping_id, count(DISTINCT memory // 4096) AS n_distinct FROM proc GROUP BY CUBE (name, "user", threads)""",
+)
