@@ -9,17 +9,17 @@ token, or if they have little else than the passage: and then they are so simila
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.llm.textbytes import mix64
 from tidegauge.shared import materialise
 
 #: Nodes up to which a group's pairs are all taken: half as many pairs as this for each row at most.
-CROWDED = 64
+CROWDED = 16
 #: Sizes of a class of partners differ by this factor at most.
 CLASS_FACTOR = 1.03
 
@@ -50,19 +50,28 @@ def prefix_keys(size: np.ndarray, rank: np.ndarray, token: np.ndarray, percent:
         yield rows, mix64(token[rows] ^ mix64(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))), own[rows], partner[rows]
 
 
-def open_pairs(groups: DataFrame, tokens: DataFrame, percent: int, crowded: int = CROWDED) -> DataFrame:
+Near = Callable[[list[str], list[str]], Column]
+
+
+def open_pairs(groups: DataFrame, tokens: DataFrame, percent: int, crowded: int = CROWDED, marks: DataFrame | None = None, near: Near | None = None) -> DataFrame:
     """x, y: pairs of nodes of different components to test, among them all that link. A pair may stand there more than once.
 
     ``groups`` has signature, node, component, n (tokens of the set); ``tokens`` has node, token: the set of each of its nodes.
+    ``near`` may leave out pairs that can't link by the columns of ``marks`` (node and others) of the one and of the other.
     """
+    mine = [c for c in marks.columns if c != "node"] if marks is not None else []
+    theirs = [f"__r_{c}" for c in mine]
+    marked = lambda df: df.join(marks, "node") if mine else df
+    renamed = [F.col(c).alias(d) for c, d in zip(mine, theirs, strict=True)]
+    like = near(mine, theirs) if near else F.lit(True)
     held = groups.groupBy("signature").agg(F.count(F.lit(1)).alias("__nodes"))
-    few = groups.join(held.where(F.col("__nodes") <= crowded), "signature")
-    other = few.select("signature", F.col("node").alias("y"), F.col("component").alias("its"), F.col("n").alias("m"))
-    alike = F.expr(f"component < its and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    near = few.withColumnRenamed("node", "x").join(other, "signature").where(alike).select("x", "y")
+    few = marked(groups.join(held.where(F.col("__nodes") <= crowded), "signature"))
+    other = few.select("signature", F.col("node").alias("y"), F.col("component").alias("its"), F.col("n").alias("__m"), *renamed)
+    alike = F.expr(f"component < its and 100 * least(n, __m) >= {percent} * greatest(n, __m)") & like
+    small = few.withColumnRenamed("node", "x").join(other, "signature").where(alike).select("x", "y")
     many = materialise(groups.join(held.where(F.col("__nodes") > crowded), "signature").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n")), "crowded")
     if not many.limit(1).count():
-        return near
+        return small
     own = materialise(tokens.join(many, "node", "left_semi"), "crowded-tokens")
     shared = own.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     by_node = Window.partitionBy("node")
@@ -81,8 +90,8 @@ def open_pairs(groups: DataFrame, tokens: DataFrame, percent: int, crowded: int
     keys = materialise(ranked.mapInArrow(keyed, "key long, node long, component long, own long, partner long"), "prefix-keys")
     # A key of one component or of one side only makes no pair.
     met = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    keys = keys.join(met, "key")
-    left = keys.where("own <= partner").select("key", F.col("node").alias("x"), F.col("component").alias("__c"), F.col("own").alias("__own"), F.col("partner").alias("__partner"))
-    right = keys.where("own >= partner").select(F.col("key").alias("__key"), F.col("node").alias("y"), F.col("component").alias("__d"), F.col("own").alias("__theirs"))
-    apart = (F.col("__c") != F.col("__d")) & (F.col("__partner") == F.col("__theirs")) & ((F.col("__own") != F.col("__partner")) | (F.col("x") < F.col("y")))
-    return near.unionByName(left.join(right, (F.col("key") == F.col("__key")) & apart).select("x", "y"))
+    keys = marked(keys.join(met, "key"))
+    left = keys.where("own <= partner").select("key", F.col("node").alias("x"), F.col("component").alias("__c"), F.col("own").alias("__own"), F.col("partner").alias("__partner"), *mine)
+    right = keys.where("own >= partner").select(F.col("key").alias("__key"), F.col("node").alias("y"), F.col("component").alias("__d"), F.col("own").alias("__theirs"), *renamed)
+    apart = (F.col("__c") != F.col("__d")) & (F.col("__partner") == F.col("__theirs")) & ((F.col("__own") != F.col("__partner")) | (F.col("x") < F.col("y"))) & like
+    return small.unionByName(left.join(right, (F.col("key") == F.col("__key")) & apart).select("x", "y"))

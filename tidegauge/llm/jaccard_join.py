@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge.llm import textbytes
 from tidegauge.llm.columns import col
 from tidegauge.llm.components import connected_components
-from tidegauge.llm.crowded_pairs import CROWDED, open_pairs
+from tidegauge.llm.crowded_pairs import CROWDED, Near, open_pairs
 from tidegauge.llm.textbytes import fold_ascii, gram_hashes, mix64, span_hashes, words
 from tidegauge.shared import materialise
 
@@ -339,6 +339,11 @@ def by_sketches(marks: DataFrame, percent: int = PERCENT) -> Screen:
     return lambda pairs: pairs.join(other, "b").join(marks.withColumnRenamed("node", "a"), "a").where(_may_link("n", "m", SKETCH, theirs, percent)).select("a", "b")
 
 
+def near_by_sketches(percent: int = PERCENT) -> Near:
+    """The same in a join that has both sides' size, s0, ... at hand."""
+    return lambda mine, theirs: _may_link(mine[0], theirs[0], mine[1:], theirs[1:], percent)
+
+
 def tokens_of(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     """node, token: the set of each row of ``texts`` (node, text)."""
 
@@ -351,10 +356,11 @@ def tokens_of(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, token long")
 
 
-def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen: Screen, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS, crowded: int = CROWDED) -> DataFrame:
+def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen: Screen, k: int = SHINGLE, percent: int = PERCENT, rounds: int = HUB_ROUNDS, crowded: int = CROWDED, near: Near | None = None) -> DataFrame:
     """node, component of all nodes of ``shared`` (signature, node), linked where sets are similar enough.
 
-    ``sizes`` has each node's set size n; ``screen`` leaves out pairs (a, b) that can't link before texts are fetched.
+    ``sizes`` has each node's set size n; ``screen`` leaves out pairs (a, b) that can't link before texts are fetched, ``near``
+    some of them by n and further columns of ``sizes`` in the join that makes them.
     """
     parts = shared.select("node").distinct().join(sizes.select("node", "n"), "node").withColumn("component", F.col("node"))
     links, tested = None, None
@@ -374,7 +380,7 @@ def linked_nodes(shared: DataFrame, sizes: DataFrame, texts: DataFrame, screen:
     still = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
     left = materialise(placed.join(still, "signature"), "open")
     if left.limit(1).count():
-        pairs = _untested(open_pairs(left, tokens_of(texts, k), percent, crowded), tested, screen)
+        pairs = _untested(open_pairs(left, tokens_of(texts, k), percent, crowded, sizes.withColumnRenamed("n", "size") if near else None, near), tested, screen)
         found = materialise(verified(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
     return parts if links is None else _joined(parts, links)
@@ -428,7 +434,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Copies are one row a task before the shuffle, so no node has many.
     marks = one_per_node(keys, SKETCH).join(shared.select("node").distinct(), "node", "left_semi")
     marks = materialise(marks, "marks")
-    return grouped(keys.drop(*SKETCH), marks, shared, usable, by_sketches(marks.drop("doc_id"), percent), k, percent, clashes, bits)
+    return grouped(keys.drop(*SKETCH), marks, shared, usable, by_sketches(marks.drop("doc_id"), percent), k, percent, clashes, bits, near_by_sketches(percent))
 
 
 def one_per_node(keys: DataFrame, more: list[str]) -> DataFrame:
@@ -436,14 +442,14 @@ def one_per_node(keys: DataFrame, more: list[str]) -> DataFrame:
     return keys.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in more))
 
 
-def grouped(keys: DataFrame, marks: DataFrame, shared: DataFrame, texts: DataFrame, screen: Screen, k: int, percent: int, clashes: tuple[np.ndarray, ...], bits: int) -> DataFrame:
+def grouped(keys: DataFrame, marks: DataFrame, shared: DataFrame, texts: DataFrame, screen: Screen, k: int, percent: int, clashes: tuple[np.ndarray, ...], bits: int, near: Near | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of ``keys`` (doc_id, n_shingles, node, half), linked among the nodes of ``shared``.
 
     ``marks`` has node, doc_id and n of these nodes, ``texts`` the doc_id and text of all rows with an id.
     """
     leaders = marks.select("node", "doc_id")
     held = materialise(_texts_of(texts.join(_few(leaders), "doc_id"), k, clashes, bits), "texts")
-    parts = linked_nodes(shared, marks, held, screen, k, percent)
+    parts = linked_nodes(shared, marks.drop("doc_id"), held, screen, k, percent, near=near)
     least = parts.join(leaders, "node").groupBy("component").agg(F.min("doc_id").alias("part_id"))
     classes = keys.where("n_shingles > 0 and doc_id is not null").groupBy("node", "half").agg(F.min("doc_id").alias("least"))
     named = materialise(classes.join(parts.join(least, "component").select("node", "part_id"), "node", "left").select("node", "half", F.coalesce("part_id", "least").alias("component_id")), "classes")
