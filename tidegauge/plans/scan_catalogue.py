@@ -5,14 +5,18 @@ The kind of an event is the key here: five series, each of a fifth of all sample
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.operators import percentiles, ranks, segments
 from tidegauge.operators.distinct_cube import distinct_cube
 from tidegauge.operators.interval_join import interval_join
-from tidegauge.plans.catalogue import _GAUGES, _PROC, _g
+from tidegauge.plans.catalogue import _GAUGES, _PROC, Query, _g
 from tidegauge.plans.panel_catalogue import ORACLE_SQL, QUERIES, _add
+from tidegauge.shared import scratch_dir
 from tidegauge.sources import tables
+from tidegauge.streaming import ordered, rings
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -171,3 +175,65 @@ _add(
 WITH {_PROC}
 SELECT name, "user", threads, grouping(name, "user", threads)::BIGINT AS grouping_id, count(DISTINCT memory // 4096) AS n_distinct FROM proc GROUP BY CUBE (name, "user", threads)""",
 )
+
+# --- streams that survive late rows -----------------------------------------------------------------------------------
+#: The watermark in the end, in milliseconds: the newest time less the delay.
+_MARK = "mark AS (SELECT epoch_ms(max(ts)) - {ms} AS ms FROM events)"
+
+
+def _stream(f) -> Query:
+    return lambda s, d: f(rings.sample_stream(s, d))
+
+
+_add(
+    "stream_in_order",
+    _stream(lambda g: rings.drained(ordered.in_order(ordered.counted(g), "6 hours", 60 * 86_400_000, 1000.0), "in-order").select("series", "event_id", "rate", "counter_reset", "ring_min", "ring_max", "ring_size")),
+    f"""
+WITH {_GAUGES}, {_MARK.format(ms=6 * 3_600_000)}, c AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS counter FROM gauges),
+d AS (SELECT series, event_id, ts, counter - lag(counter) OVER w AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt, min(value) OVER r AS ring_min, max(value) OVER r AS ring_max, count(*) OVER r AS ring_size
+  FROM c WINDOW w AS (PARTITION BY series ORDER BY ts, event_id), r AS (PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+SELECT series, event_id, CASE WHEN dt > 0 AND dv >= 0 THEN floor(dv * 1000.0::DOUBLE / (dt / 1000000.0::DOUBLE))::BIGINT END AS rate, coalesce(dv < 0, false) AS counter_reset, ring_min, ring_max, ring_size
+FROM d, mark WHERE epoch_ms(ts) < ms""",
+)
+_add(
+    "stream_sessions",
+    _stream(lambda g: rings.drained(ordered.sessions(g.withColumn("series", F.col("series") % 40), "2 hours"), "sessions")),
+    f"""
+WITH {_GAUGES}, {_MARK.format(ms=3_600_000)}, g AS (SELECT series % 40 AS series, epoch_us(ts) AS t, value FROM gauges),
+opened AS (SELECT *, coalesce(t - lag(t) OVER w >= 7200000000, true) AS opens FROM g WINDOW w AS (PARTITION BY series ORDER BY t)),
+numbered AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY series ORDER BY t) AS session FROM opened)
+SELECT series, min(t) AS opens, max(t) + 7200000000 AS closes, count(*) AS n, max(value) AS top FROM numbered GROUP BY series, session HAVING max(t) + 7200000000 <= (SELECT ms * 1000 FROM mark)""",
+)
+_add(
+    "stream_closed_windows",
+    _stream(lambda g: rings.drained(ordered.closed_windows(g), "closed-windows")),
+    f"""
+WITH {_GAUGES}, {_MARK.format(ms=7_200_000)}, g AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS start, core, value FROM gauges)
+SELECT start, core, count(*) AS n, max(value) AS top FROM g GROUP BY start, core HAVING (start + 3600) * 1000 <= (SELECT ms FROM mark)""",
+)
+_add(
+    "stream_once",
+    _stream(lambda g: rings.drained(ordered.once(g.unionByName(g), ["event_id"]), "once").select("event_id", "series", "value")),
+    "SELECT event_id, user_id AS series, value FROM events",
+)
+_add(
+    "stream_join_outer",
+    _stream(lambda g: rings.drained(ordered.joined_within(g.where("core = 'click'").withColumn("series", F.col("series") % 20), g.where("core = 'error'").withColumn("series", F.col("series") % 20), "2 hours"), "join-outer")),
+    f"""
+WITH {_GAUGES}, a AS (SELECT series % 20 AS series, event_id, ts FROM gauges WHERE core = 'click'), b AS (SELECT series % 20 AS series, event_id, ts FROM gauges WHERE core = 'error'),
+mark AS (SELECT least((SELECT epoch_ms(max(ts)) FROM a), (SELECT epoch_ms(max(ts)) FROM b)) - 3600000 AS ms),
+pairs AS (SELECT a.series, a.event_id AS left_id, b.event_id AS right_id FROM a JOIN b ON a.series = b.series AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS)
+SELECT * FROM pairs
+UNION ALL SELECT series, event_id, NULL FROM a, mark WHERE event_id NOT IN (SELECT left_id FROM pairs) AND epoch_ms(ts) + 7200000 < ms
+UNION ALL SELECT series, NULL, event_id FROM b, mark WHERE event_id NOT IN (SELECT right_id FROM pairs) AND epoch_ms(ts) < ms""",
+)
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{scratch_dir(spark)}/export-{uuid.uuid4().hex}"
+    stream = rings.sample_stream(spark, sf_dir).select("event_id", "ts", "value")
+    ordered.export(stream, f"{base}/out", f"{base}/state", "ts", 5_000)
+    return ordered.exported(spark, f"{base}/out", "event_id long, ts timestamp_ntz, value double").groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("value").alias("top"))
+
+
+_add("stream_export", _exported, "SELECT ts::DATE::VARCHAR AS day, count(*) AS n, min(event_id) AS first, max(value) AS top FROM events GROUP BY 1")

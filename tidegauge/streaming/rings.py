@@ -76,7 +76,10 @@ def latest_stream(samples: DataFrame) -> DataFrame:
 
 
 def tumbling_counts(samples: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Samples and their largest value for each event-time window and core; rows later than ``late`` are left out."""
+    """Samples and their largest value for each event-time window and core.
+
+    In append mode rows later than ``late`` are left out (``ordered.closed_windows``); in complete mode all windows are kept and none is.
+    """
     timed = samples.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
     return timed.groupBy(F.window("__ts", width).alias("w"), "core").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")).select(F.unix_seconds(F.col("w.start")).alias("start"), "core", "n", "top")
 
