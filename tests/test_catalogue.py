@@ -46,3 +46,14 @@ def test_top_k_is_not_a_full_sort(spark):
 def test_latest_limits_groups_before_the_shuffle(spark):
     plan = catalogue.QUERIES["latest_per_series"](spark, SF)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_broken_subpackage_leaves_the_other_queries(tmp_path, monkeypatch):
+    """A module that can't be imported is warned of and left out; one that isn't there is left out."""
+    import __spark_entry__
+
+    (tmp_path / "broken_operators.py").write_text("import a_library_that_is_not_there\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning, match="broken_operators"):
+        assert __spark_entry__._if_there("broken_operators") is None
+    assert __spark_entry__._if_there("absent_operators") is None

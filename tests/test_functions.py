@@ -239,3 +239,15 @@ def test_first_of_and_unit_helpers(spark):
     row = spark.range(1).select(derived.first_of(F.array(F.lit(3), F.lit(4))).alias("a"), derived.first_of(F.array().cast("array<int>")).alias("b"), derived.gigahertz(F.lit(2400.0)).alias("c"), derived.thread_count(F.lit(4), F.lit(2)).alias("d"))
     assert tuple(row.first()) == (3, None, 2.4, 8)
 
+
+
+def test_two_decimals_as_c_prints_them(spark):
+    """Ties of the decimal text that are none of the binary value, true ties, carries, signs and large numbers."""
+    import random
+
+    rng = random.Random(3)
+    values = [0.0, 1.005, 2.675, 0.125, 0.375, 9.995, 99.995, 0.005, 1e9 + 0.005, 123456789.125, -1.005, -0.004, 2.0**40 + 0.25] + [rng.randrange(10**6) / 1000 for _ in range(500)] + [rng.random() * 10 ** rng.randint(-3, 9) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", fmt.fixed(F.col("v"), 2).alias("two"), fmt.fixed(F.col("v")).alias("one"), fmt.mini_gauge(F.col("v"), "GB", 50.0, 4).alias("mini")).collect()
+    assert all((r.two, r.one) == (f"{r.v:.2f}", f"{r.v:.1f}") for r in got)
+    assert all(r.mini[4:] == f" {r.v:6.1f} GB" for r in got)

@@ -26,20 +26,41 @@ def one_decimal(x: Column) -> Column:
     return F.concat(_text(whole), F.lit("."), _text(digit))
 
 
-def fixed(x: Column) -> Column:
-    """Exactly one decimal place, rounded from the number's binary value, ties to even, as C's "%.1f". For 0 <= x < 2 ** 49.
+#: 10 and 100 as sums of powers of two, by which a product is exact.
+_POWERS = {1: (8, 2), 2: (64, 32, 4)}
 
-    Ten times x is the sum of two exact products; what that sum loses by rounding decides where it looks like a tie.
+
+def fixed(x: Column, places: int = 1) -> Column:
+    """One or two decimal places, rounded from the number's binary value, ties to even, as C's "%.1f" and "%.2f". For |x| < 2 ** 46.
+
+    Ten or a hundred times x is a sum of exact products; what that sum loses by rounding decides where it looks like a tie.
     """
-    eight, two = x * 8, x * 2
-    ten = eight + two
-    part = ten - eight
-    lost = (eight - (ten - part)) + (two - part)
-    low = F.floor(ten).cast("bigint")
-    over = ten - low - 0.5
-    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (low % 2 == 1))))
-    n = low + up.cast("bigint")
-    return F.concat(_text(F.floor(n / 10).cast("bigint")), F.lit("."), _text(n % 10))
+    scale = 10**places
+
+    def product(size: Column) -> Column:
+        total, *others = (size * p for p in _POWERS[places])
+        lost = F.lit(0.0)
+        for part in others:
+            grown = total + part
+            total, lost = grown, lost + (part - (grown - total))
+        return F.struct(total.alias("total"), lost.alias("lost"), F.floor(total).cast("bigint").alias("low"))
+
+    def text(p: Column) -> Column:
+        over = p["total"] - p["low"] - 0.5
+        up = (over > 0) | ((over == 0) & ((p["lost"] > 0) | ((p["lost"] == 0) & (p["low"] % 2 == 1))))
+        return _digits(p["low"] + up.cast("bigint"), scale, places)
+
+    # Each step is bound to a name, as the next one uses it several times.
+    return F.concat(F.when(x < 0, "-").otherwise(""), _bound(_bound(F.abs(x), product), text))
+
+
+def _digits(n: Column, scale: int, places: int) -> Column:
+    return F.concat(_text(F.floor(n / scale).cast("bigint")), F.lit("."), F.lpad(_text(n % scale), places, "0"))
+
+
+def _bound(x: Column, step: Callable[[Column], Column]) -> Column:
+    """``step(x)`` with x worked out once."""
+    return F.get(F.transform(F.array(x), step), F.lit(0))
 
 
 def left_padded(s: Column, width: int) -> Column:
@@ -79,7 +100,7 @@ def scaled_number(n: Column) -> Column:
 def format_number(n: Column) -> Column:
     """``scaled_number`` as text for display; below 1000 the plain number."""
     s = scaled_number(n)
-    return F.when(n < 1000, _text(n)).otherwise(F.concat(F.format_string("%.2f", s["value"]), s["suffix"]))
+    return F.when(n < 1000, _text(n)).otherwise(F.concat(fixed(s["value"], 2), s["suffix"]))
 
 
 def truncate(s: Column, most: int) -> Column:
@@ -114,6 +135,20 @@ def colored_gauge(value: Column, color: Callable[[Column], Column], most: float
     return F.struct(bar(value, most, width).alias("bar"), percent_of(value, most).alias("percent"), color(value).alias("color"))
 
 
+def gauge_text(value: Column, most: float = 100.0, width: int = 20, number: str = "percent") -> Column:
+    """A bar gauge as text: with its percentage, its 'value', or 'none' of them."""
+    cells = bar(value, most, width)
+    if number == "percent":
+        return F.concat(cells, F.lit(" "), left_padded(fixed(percent_of(value, most)), 5), F.lit("%"))
+    return F.concat(cells, F.lit(" "), left_padded(fixed(value), 6)) if number == "value" else cells
+
+
+def mini_gauge(value: Column, unit: str = "", most: float = 100.0, width: int = 15, number: bool = True) -> Column:
+    """A compact gauge as text: the bar, the value and its unit, if it has one."""
+    cells = bar(value, most, width)
+    return F.concat(cells, F.lit(" "), left_padded(fixed(value), 6), F.lit(f" {unit}" if unit else "")) if number else cells
+
+
 def fahrenheit(celsius: Column) -> Column:
     return celsius * 9 / 5 + 32
 

@@ -52,21 +52,24 @@ def warnings(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
     return hit.select("pid", F.posexplode("warnings").alias("ord", "text"))
 
 
+def _flags() -> list[Column]:
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return [F.count(F.lit(1)).alias("processes"), any_of("protected").alias("has_protected"), any_of("system").alias("has_system"), any_of("sudo").alias("requires_sudo"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("n_warnings")]
+
+
 def confirmation_flags(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
     """One row about the selected processes that exist: how many, what they need, how many warnings. Two-phase, no lists."""
-    hit = classified(df.join(selected.select("pid").distinct(), "pid"), me)
-    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    return hit.agg(F.count(F.lit(1)).alias("processes"), any_of("protected").alias("has_protected"), any_of("system").alias("has_system"), any_of("sudo").alias("requires_sudo"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("n_warnings"))
+    return classified(df.join(selected.select("pid").distinct(), "pid"), me).agg(*_flags())
 
 
 def confirmation(df: DataFrame, selected: DataFrame, me: str) -> DataFrame:
-    """``confirmation_flags`` and the text of the dialog: all warnings in order of pid.
+    """``confirmation_flags`` and the text of the dialog, all warnings in order of pid, by one aggregate.
 
     The text is one value, as long as the selection that a user has made; ``warnings`` has the same as rows.
     """
-    texts = F.array_sort(F.collect_list(F.struct("pid", "ord", "text")))
-    joined = warnings(df, selected, me).agg(F.array_join(F.transform(texts, lambda t: t["text"]), " | ").alias("warnings"))
-    return confirmation_flags(df, selected, me).join(F.broadcast(joined), F.lit(True))
+    hit = classified(df.join(selected.select("pid").distinct(), "pid"), me)
+    told = F.array_sort(F.collect_list(F.when(F.size("warnings") > 0, F.struct("pid", "warnings"))))
+    return hit.agg(*_flags(), F.array_join(F.flatten(F.transform(told, lambda t: t["warnings"])), " | ").alias("warnings"))
 
 
 def kill_plan(df: DataFrame, selected: DataFrame, me: str, force: bool = False) -> DataFrame:

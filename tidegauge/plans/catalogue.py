@@ -175,10 +175,9 @@ WITH {_GAUGES}, {_HIST},
 s AS (SELECT *, min(value) OVER () AS lo, max(value) OVER () AS hi FROM hist),
 r AS (SELECT *, {_scale} FROM s)
 SELECT series, idx, {_level} FROM r""")
-# The SQL of view_cpu is fixed at 3 cores; view_cpu_8_cores is the view as the reference has it.
-_add("view_cpu", _g(lambda g: views.cpu(g, cores=3)), f"""
+_add("view_cpu", _g(views.cpu), f"""
 WITH {_GAUGES},
-named AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY core) - 1 AS core_id FROM gauges) WHERE core_id < 3),
+named AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY core) - 1 AS core_id FROM gauges) WHERE core_id < 8),
 h AS (SELECT series, core, value, (max(back) OVER (PARTITION BY series, core) - back)::INTEGER AS idx
 FROM (SELECT *, row_number() OVER (PARTITION BY series, core ORDER BY event_id DESC) AS back FROM named) WHERE back <= 60),
 n AS (SELECT series, core, count(*) AS n FROM h GROUP BY ALL),
@@ -189,7 +188,7 @@ GROUP BY ALL),
 s AS (SELECT *, min(value) OVER (PARTITION BY series, core) AS lo, max(value) OVER (PARTITION BY series, core) AS hi FROM down),
 r AS (SELECT *, {_scale} FROM s)
 SELECT series, core, idx, value, {_level} FROM r""")
-_add("view_cpu_8_cores", _g(views.cpu), ORACLE_SQL["view_cpu"].replace("core_id < 3", "core_id < 8"))
+_add("view_cpu_8_cores", _g(views.cpu), ORACLE_SQL["view_cpu"])
 _add("view_network", _c(views.network), f"""
 WITH {_COUNTERS},
 d AS (SELECT series, event_id, counter, counter - lag(counter) OVER w AS dv, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt FROM counters
@@ -211,6 +210,18 @@ WITH {_PROC},
 n AS (SELECT pid, memory * threads AS n FROM proc)
 SELECT pid, CASE WHEN n >= 1e9 THEN n / 1e9::DOUBLE WHEN n >= 1e6 THEN n / 1e6::DOUBLE WHEN n >= 1e3 THEN n / 1e3::DOUBLE ELSE n::DOUBLE END AS value,
 CASE WHEN n >= 1e9 THEN 'B' WHEN n >= 1e6 THEN 'M' WHEN n >= 1e3 THEN 'K' ELSE '' END AS suffix FROM n""")
+_add("fixed_texts", _g(lambda g: g.select("event_id", fmt.fixed(F.col("event_id") % 20000 / 1000.0, 2).alias("two"), fmt.fixed(F.col("event_id") % 20000 / 1000.0 - 3).alias("one"), fmt.fixed(F.col("value") * 1.005, 2).alias("odd"))), """
+SELECT event_id, printf('%.2f', (event_id % 20000)::DOUBLE / 1000.0::DOUBLE) AS two, printf('%.1f', (event_id % 20000)::DOUBLE / 1000.0::DOUBLE - 3) AS one, printf('%.2f', value * 1.005::DOUBLE) AS odd FROM events""")
+_add("number_text", _p(lambda p: p.select("pid", fmt.format_number(F.col("memory") * F.col("threads")).alias("text"), fmt.format_number(F.col("pid") % 3000).alias("small"))), f"""
+WITH {_PROC}, n AS (SELECT pid, memory * threads AS n, pid % 3000 AS m FROM proc)
+SELECT pid, CASE WHEN n >= 1e9 THEN printf('%.2fB', n / 1e9::DOUBLE) WHEN n >= 1e6 THEN printf('%.2fM', n / 1e6::DOUBLE) WHEN n >= 1e3 THEN printf('%.2fK', n / 1e3::DOUBLE) ELSE n::VARCHAR END AS text,
+CASE WHEN m >= 1000 THEN printf('%.2fK', m / 1e3::DOUBLE) ELSE m::VARCHAR END AS small FROM n""")
+_add("gauge_texts", _g(lambda g: g.select("event_id", fmt.gauge_text(F.col("value") - 20, 400.0, 10).alias("share"), fmt.gauge_text(F.col("value") - 20, 400.0, 10, "value").alias("raw"), fmt.gauge_text(F.col("value"), 0.0, 10, "none").alias("plain"), fmt.mini_gauge(F.col("value") / 8, "MB", 50.0).alias("mini"), fmt.mini_gauge(F.col("value") * 1000, "", 50.0, 5).alias("bare"))), """
+WITH c AS (SELECT event_id, value, value - 20 AS v, least(greatest((value - 20) / 400.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS p, least(greatest(value / 8 / 50.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS q,
+  least(greatest(value * 1000 / 50.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS r, least(greatest(value / 1.0::DOUBLE * 100, 0.0::DOUBLE), 100.0::DOUBLE) AS s FROM events),
+b AS (SELECT *, least(floor(10.0::DOUBLE * (p / 100.0::DOUBLE)), 10)::INTEGER AS np, least(floor(15.0::DOUBLE * (q / 100.0::DOUBLE)), 15)::INTEGER AS nq, least(floor(5.0::DOUBLE * (r / 100.0::DOUBLE)), 5)::INTEGER AS nr, least(floor(10.0::DOUBLE * (s / 100.0::DOUBLE)), 10)::INTEGER AS ns FROM c)
+SELECT event_id, repeat('▓', np) || repeat('░', 10 - np) || printf(' %5.1f%%', p) AS share, repeat('▓', np) || repeat('░', 10 - np) || printf(' %6.1f', v) AS raw, repeat('▓', ns) || repeat('░', 10 - ns) AS plain,
+repeat('▓', nq) || repeat('░', 15 - nq) || printf(' %6.1f MB', value / 8) AS mini, repeat('▓', nr) || repeat('░', 5 - nr) || printf(' %6.1f', value * 1000) AS bare FROM b""")
 _add("truncate_name", lambda s, d: tables.table(s, d, "customer").select("c_custkey", fmt.truncate(F.col("c_name"), 12).alias("cut"), fmt.truncate(F.col("c_name"), 20).alias("uncut"), fmt.truncate(F.col("c_name"), 3).alias("tiny")), """
 SELECT c_custkey, CASE WHEN length(c_name) <= 12 THEN c_name ELSE substring(c_name, 1, 9) || '...' END AS cut, c_name AS uncut, c_name AS tiny
 FROM customer""")

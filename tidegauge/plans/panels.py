@@ -22,7 +22,8 @@ def cpu_panel(info: DataFrame) -> DataFrame:
         F.coalesce(F.aggregate("packages", F.lit(0), lambda n, p: n + p["cores"]), F.lit(0)).alias("cores"), *(F.lit(0.0).alias(f"load_{n}") for n in (1, 5, 15)),
     )
     rows = rows.withColumn("ghz", derived.gigahertz(F.col("frequency_mhz")))
-    return rows.withColumn("line", F.format_string("  %.2f GHz  │  %d cores  │  %d threads", "ghz", "cores", "threads"))
+    # The texts of the line.
+    return rows.withColumn("line", F.concat(F.lit("  "), fmt.fixed(F.col("ghz"), 2), F.lit(" GHz  │  "), F.col("cores").cast("string"), F.lit(" cores  │  "), F.col("threads").cast("string"), F.lit(" threads")))
 
 
 def core_counts(gauges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.functions import derived, formatting as fmt, levels
 from tidegauge.operators import safety, selection, series, snapshot
@@ -37,18 +37,14 @@ def overview(gauges: DataFrame, n: int = 8) -> DataFrame:
 
 def cpu(gauges: DataFrame, cores: int = 8, width: int = 20) -> DataFrame:
     """Each series' history, downsampled to ``width`` points with chart levels, for its first ``cores`` cores."""
-    named = gauges.withColumn("core_id", F.dense_rank().over(_by_core()) - 1).where(F.col("core_id") < cores)
+    # Cores are ranked, not samples: one row for each series and core.
+    first = gauges.select("series", "core").distinct().withColumn("__rank", F.row_number().over(Window.partitionBy("series").orderBy("core"))).where(F.col("__rank") <= cores).select(F.col("series").alias("__series"), F.col("core").alias("__core"))
+    named = gauges.join(first, F.col("series").eqNullSafe(F.col("__series")) & F.col("core").eqNullSafe(F.col("__core")), "left_semi")
     arrays = series.history_arrays(named, ["series", "core"], ["event_id"], "value")
     points = arrays.select("series", "core", F.posexplode(series.downsampled(F.col("values"), width)).alias("idx", "value"))
     return series.chart_levels(points, ["series", "core"], "value")
 
 
-def _by_core():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("series").orderBy("core")
-
-
 def memory(samples: DataFrame) -> DataFrame:
     """Memory samples with derived columns, swap share, colour and sizes as text."""
     full = derived.memory_derived(samples)

@@ -76,7 +76,7 @@ def host_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hostname, os, platform, kernel, uptime and boot_time (seconds): one row for each nation, some attributes missing."""
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     k = F.col("n_nationkey")
-    rows = nations.join(F.broadcast(regions), nations["n_regionkey"] == regions["r_regionkey"], "left")
+    rows = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"], "left")
     return rows.select(
         F.lower("n_name").alias("hostname"), F.when(k % 6 != 0, F.lower("r_name")).alias("os"), F.when(k % 5 != 0, F.lit("standalone")).alias("platform"),
         F.concat(F.lit("24."), k.cast("string")).alias("kernel"), F.when(k % 7 != 0, k.cast("bigint") * 5000).alias("uptime"), (F.lit(1_700_000_000) - k.cast("bigint") * 5000).alias("boot_time"),
