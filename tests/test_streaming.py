@@ -32,6 +32,23 @@ def test_rates_over_micro_batches(spark, tmp_path):
     assert want.where("rate is null").count() > 3
 
 
+def test_a_late_row_leaves_the_rates_after_it_alone(spark, tmp_path):
+    import glob
+    import os
+
+    row = lambda e, t, c: (1, e, t, c)
+    batches = [[row(1, 10, 100), row(3, 30, 500)], [row(2, 20, 120), row(4, 40, 700)], [row(0, 5, 1)], [row(5, 50, 1000)]]
+    schema = "series long, event_id long, s long, counter long"
+    frame = lambda b: spark.createDataFrame(b, schema).select("series", "event_id", F.timestamp_seconds("s").alias("ts"), "counter")
+    for k, b in enumerate(batches):
+        frame(b).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for f in glob.glob(f"{tmp_path}/in/{k}/*.parquet"):
+            os.utime(f, (1_000_000 + k * 100,) * 2)
+    stream = spark.readStream.schema(frame(batches[0]).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = {r.event_id: (r.rate, r.counter_reset) for r in rings.drained(rings.rate_stream(stream, 10.0), "late-rates").collect()}
+    assert got == {1: (None, False), 3: (200, False), 2: (None, False), 4: (200, False), 0: (None, False), 5: (300, False)}
+
+
 def test_streams_without_rows(spark, tmp_path):
     schema = "series long, core string, event_id long, ts timestamp_ntz, value double"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")

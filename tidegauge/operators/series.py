@@ -34,10 +34,19 @@ def rolling_range(df: DataFrame, key: list[str], order: list[str], value: str, s
     return df.withColumns({"ring_min": F.min(value).over(w), "ring_max": F.max(value).over(w), "ring_size": F.count(F.lit(1)).over(w)})
 
 
+def _from_last(df: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
+    back = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= size)
+
+
+def recent(df: DataFrame, key: list[str], order: list[str], size: int = HISTORY) -> DataFrame:
+    """The last ``size`` rows of each key; the plan limits each group before the shuffle."""
+    return _from_last(df, key, order, size).drop("__back")
+
+
 def history(df: DataFrame, key: list[str], order: list[str], size: int = HISTORY) -> DataFrame:
     """The last ``size`` rows of each key, with idx from 0 (oldest) on: a rolling history in long form."""
-    back = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-    last = df.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= size)
+    last = _from_last(df, key, order, size)
     return last.withColumn("idx", (F.max("__back").over(Window.partitionBy(*key)) - F.col("__back")).cast("int")).drop("__back")
 
 

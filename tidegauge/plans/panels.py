@@ -60,7 +60,7 @@ def _directions(counters: DataFrame) -> DataFrame:
 
 def network_panel(counters: DataFrame) -> DataFrame:
     """The latest rates of each series both ways, in all its units, its totals and packets, and the overview's two lines."""
-    last = snapshot.latest(_directions(counters), ["series"], ["event_id"]).withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("download", "upload")})
+    last = snapshot.latest(_directions(series.recent(counters, ["series"], ["event_id"], 2)), ["series"], ["event_id"]).withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("download", "upload")})
     size = lambda c: fmt.format_bytes(F.col(c))
     two = lambda head, down, between, up, tail="": F.concat(F.lit(head), down, F.lit(between), up, F.lit(tail))
     speed = two("  ↓ ", size("download"), "/s    ↑ ", size("upload"), "/s")

@@ -54,7 +54,9 @@ def memory(samples: DataFrame) -> DataFrame:
 
 def network(counters: DataFrame) -> DataFrame:
     """The latest rate of each series, its peak over the rolling history, and its total as text."""
-    rated = series.rates(counters, ["series"], ["event_id"], "counter", "ts", per=3_600_000.0)
+    # The last 60 rates need 61 samples of each series; the others go before the shuffle.
+    recent = series.recent(counters, ["series"], ["event_id"], series.HISTORY + 1)
+    rated = series.rates(recent, ["series"], ["event_id"], "counter", "ts", per=3_600_000.0)
     ringed = series.rolling_range(rated, ["series"], ["event_id"], "rate")
     last = snapshot.latest(ringed, ["series"], ["event_id"])
     return last.select("series", "rate", F.col("ring_max").alias("peak"), fmt.format_bytes(F.col("counter")).alias("total"), fmt.scaled_number(F.col("counter"))["value"].alias("scaled"), derived.mega_per_second(F.col("rate")).alias("mega"))

@@ -15,7 +15,9 @@ from tidegauge.shared import scratch_dir
 OUTPUT = "series long, event_id long, value double, ring_min double, ring_max double, ring_size long, change double"
 STATE = "last double, ring array<double>"
 RATE_OUTPUT = "series long, event_id long, counter long, rate long, counter_reset boolean"
-RATE_STATE = "counter long, micros long"
+RATE_STATE = "counter long, micros long, event_id long"
+#: Files of a micro-batch, so that a backfill isn't one.
+FILES_AT_ONCE = 64
 
 
 def rolling_stream(samples: DataFrame, size: int = HISTORY) -> DataFrame:
@@ -44,21 +46,29 @@ def rolling_stream(samples: DataFrame, size: int = HISTORY) -> DataFrame:
 def rate_stream(counters: DataFrame, per: float = 1.0) -> DataFrame:
     """series, event_id, counter, rate (whole units in ``per`` seconds), counter_reset, as ``series.rates`` gives them for a table.
 
-    ``counters`` is a stream of series, event_id, ts, counter. A series' state is its last counter and time. The first sample
-    has no rate, nor has one where the counter fell or no time passed.
+    ``counters`` is a stream of series, event_id, ts, counter. A series' state is its last counter, time and event_id. The first
+    sample has no rate, nor has one where the counter fell or no time passed. A row that comes after a micro-batch with a later
+    event_id of its series has no rate either and leaves the state as it is; ``ordered.in_order`` waits for such rows.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("event_id")
+        if state.exists:
+            behind = rows["event_id"] < state.get[2]
+            if behind.any():
+                late, rows = rows[behind], rows[~behind]
+                yield pd.DataFrame({"series": key[0], "event_id": late["event_id"].to_numpy(), "counter": late["counter"].to_numpy(np.int64), "rate": pd.array([pd.NA] * len(late), "Int64"), "counter_reset": False})
+                if not len(rows):
+                    return
         counter, micros = rows["counter"].to_numpy(np.int64), rows["micros"].to_numpy(np.int64)
         first = not state.exists
-        held, then = (counter[0], micros[0]) if first else state.get
+        held, then = (counter[0], micros[0]) if first else state.get[:2]
         grown, passed = np.diff(counter, prepend=held), np.diff(micros, prepend=then)
         known = (passed > 0) & (grown >= 0)
         known[0] &= not first
         rate = pd.array(np.floor(np.where(known, grown, 0) * per / (np.where(known, passed, 1) / 1e6)).astype(np.int64), "Int64")
         rate[~known] = pd.NA
-        state.update((int(counter[-1]), int(micros[-1])))
+        state.update((int(counter[-1]), int(micros[-1]), int(rows["event_id"].iloc[-1])))
         yield pd.DataFrame({"series": key[0], "event_id": rows["event_id"].to_numpy(), "counter": counter, "rate": rate, "counter_reset": grown < 0})
 
     timed = counters.select("series", "event_id", "counter", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
@@ -87,7 +97,7 @@ def tumbling_counts(samples: DataFrame, ts: str = "ts", width: str = "1 hour", l
 def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream of series, core, event_id, ts, value."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_AT_ONCE).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
     return files.select(F.col("user_id").alias("series"), F.col("event_type").alias("core"), "event_id", "ts", "value")
 
 
