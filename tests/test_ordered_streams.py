@@ -1,6 +1,7 @@
 """Streams over several files whose rows come late, twice or in any order."""
 
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,22 @@ def test_outer_join_within_an_interval_and_its_state(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
+def test_outer_join_takes_a_series_by_bins_of_time(spark, tmp_path):
+    """Partners across the edges of bins come once and no row meets a whole series; null series and ids, two batches."""
+    rng = random.Random(8)
+    items = [(rng.choice([1, 1, 2, None]), i if i % 40 else None, rng.randint(1, 7000), 0.0, rng.choice("LR")) for i in range(600)]
+    items += [(1, 1000 + i, 800 * (i // 4 + 1) + 50 * (i % 2), 0.0, "LR"[i // 2 % 2]) for i in range(24)]
+    last = [(9, 9001, 100_000, 0.0, "L"), (9, 9002, 100_000, 0.0, "R")]
+    stream = files(spark, tmp_path, [rows(spark, items[::2]), rows(spark, items[1::2]), rows(spark, last)])
+    joined = ordered.joined_within(stream.where("core = 'L'"), stream.where("core = 'R'"), "50 seconds", "3 hours")
+    assert "FullOuter" not in joined._jdf.queryExecution().logical().toString()
+    lefts, rights = ([(n, k, i, t) for n, (k, i, t, _, side) in enumerate(items + last) if side == which] for which in "LR")
+    pairs = [(a, b) for a in lefts for b in rights if a[1] == b[1] is not None and a[3] <= b[3] <= a[3] + 50]
+    met = {n for pair in pairs for n, *_ in pair}
+    want = [(a[1], a[2], b[2]) for a, b in pairs] + [(k, i, None) for n, k, i, _ in lefts if n not in met] + [(k, None, i) for n, k, i, _ in rights if n not in met]
+    assert sorted(map(tuple, rings.drained(joined, "bins").collect()), key=str) == sorted(want, key=str) and len(pairs) > 100
+
+
 @pytest.mark.parametrize("step", ["rows", "commit"])
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path, step):
     """The export stops in the middle of its second batch, after its rows or its commit, and goes on from its checkpoint."""

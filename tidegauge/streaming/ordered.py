@@ -2,7 +2,7 @@
 
 * rates and histories in order of time, whatever micro-batch a row comes with;
 * sessions, closed windows and rows that are taken once;
-* an outer join of two streams within an interval.
+* an outer join of two streams within an interval, by bins of time.
 
 Spark drops a late row by the watermark of the batch before. All of them append: what is written is final. Rows whose time the watermark hasn't passed yet wait in the state, which holds no more than
 the rows of the delay (and what the silence of a series or the interval of a join asks for).
@@ -21,6 +21,11 @@ from tidegauge.operators.series import HISTORY
 
 ORDERED = "series long, event_id long, value double, counter long, rate long, counter_reset boolean, ring_min double, ring_max double, ring_size long"
 _HELD = "micros long, event_id long, value double, counter long"
+JOINED = "series long, left_id long, right_id long"
+#: A row of a join that waits: its id is ``known`` or null, it is in its ``own`` bin or a neighbour's, it has ``met`` a partner or not.
+_WAITING = np.dtype([("micros", "<i8"), ("id", "<i8"), ("known", "?"), ("own", "?"), ("met", "?")])
+#: Intervals in a bin of a join, pairs of a frame that is written, and rows of a packed array.
+BIN_INTERVALS, PAIRS_AT_ONCE, PACKED_ROWS = 16, 250_000, 50_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -108,6 +113,91 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Joined(StatefulProcessor):
+    """Pairs the rows of two streams in a bin of time of a series and holds those that may still have partners.
+
+    A bin also gets the rows of its neighbours that are near enough to meet its own. A pair is written in the bin of its right row,
+    a row without a partner in its own bin. Partners are found by binary search in arrays in order of time, so the work is a sort
+    and the pairs there are. State: the rows that wait on either side, in packed arrays. A timer stands where the first is ruled out.
+    """
+
+    def __init__(self, within: int) -> None:
+        self.within = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.left, self.right = (handle.getListState(side, "packed binary") for side in ("left", "right"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = list(rows)
+        come = np.zeros(sum(map(len, frames)), _WAITING)
+        for name in ("micros", "id", "known", "own"):
+            come[name] = np.concatenate([f[name].to_numpy() for f in frames])
+        is_right = np.concatenate([f["is_right"].to_numpy(bool) for f in frames])
+        lefts, rights = (_in_time(come[at]) for at in (~is_right, is_right))
+        held_lefts, held_rights = _unpacked(self.left), _unpacked(self.right)
+        if not key[1]:  # a null series has no partners
+            yield from self._pairs(key, lefts, held_rights)
+        lefts = _in_time(np.concatenate([held_lefts, lefts]))
+        if not key[1]:
+            yield from self._pairs(key, lefts, rights)
+        yield from self._wait(key, lefts, np.concatenate([held_rights, rights]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._wait(key, _unpacked(self.left), _unpacked(self.right), timerValues.getCurrentWatermarkInMs())
+
+    def _pairs(self, key, lefts: np.ndarray, rights: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The pairs of the bin's own right rows, some PAIRS_AT_ONCE a frame; all that meet are marked. ``lefts`` are in order."""
+        low = np.searchsorted(lefts["micros"], rights["micros"] - self.within)
+        high = np.searchsorted(lefts["micros"], rights["micros"], "right")
+        rights["met"] |= high > low
+        edges = np.bincount(low, minlength=len(lefts) + 1) - np.bincount(high, minlength=len(lefts) + 1)
+        lefts["met"] |= np.cumsum(edges)[: len(lefts)] > 0
+        own = np.flatnonzero(rights["own"] & (high > low))
+        many = (high - low)[own]
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS_AT_ONCE)) + 1):
+            n, first = many[part], low[own[part]]
+            if len(n):
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield _joined(key, lefts[["id", "known"]][at], rights[["id", "known"]][np.repeat(own[part], n)])
+
+    def _wait(self, key, lefts: np.ndarray, rights: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        """Writes the own rows that are ruled out without a partner; the state is the rows that may have one yet."""
+        ends = []
+        for state, rows, more in ((self.left, lefts, self.within), (self.right, rights, 0)):
+            end = (rows["micros"] + more) // 1000
+            gone = end < watermark
+            alone = rows[gone & rows["own"] & ~rows["met"]]
+            if len(alone):
+                none = np.zeros(len(alone), _WAITING)
+                yield _joined(key, *((alone, none) if state is self.left else (none, alone)))
+            if gone.all():
+                state.clear()
+            else:
+                waiting, ends = rows[~gone], [*ends, end[~gone].min()]
+                state.put([(waiting[k : k + PACKED_ROWS].tobytes(),) for k in range(0, len(waiting), PACKED_ROWS)])
+        if ends:
+            self.handle.registerTimer(int(min(ends)))  # fires once the watermark is past it
+
+    def close(self) -> None:
+        pass
+
+
+def _in_time(rows: np.ndarray) -> np.ndarray:
+    return rows[np.argsort(rows["micros"], kind="stable")]
+
+
+def _unpacked(state) -> np.ndarray:
+    """The rows of a list of packed arrays, as an array that may be changed."""
+    return np.frombuffer(b"".join(r[0] for r in state.get()) if state.exists() else b"", _WAITING).copy()
+
+
+def _joined(key, lefts: np.ndarray, rights: np.ndarray) -> pd.DataFrame:
+    ids = {name: pd.arrays.IntegerArray(rows["id"].copy(), ~rows["known"]) for name, rows in (("left_id", lefts), ("right_id", rights))}
+    n = len(lefts)
+    return pd.DataFrame({"series": pd.arrays.IntegerArray(np.full(n, key[0], np.int64), np.full(n, bool(key[1]))), **ids})
+
+
 def timed(samples: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """The stream with its time as a timestamp, whose watermark is ``delay`` behind the newest row."""
     return samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -148,15 +238,30 @@ def once(samples: DataFrame, key: list[str], delay: str = "1 hour") -> DataFrame
 
 
 def joined_within(left: DataFrame, right: DataFrame, interval: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """series, left_id, right_id: rows of both streams (series, event_id, ts) of which the right one comes at most ``interval`` later.
+    """series, left_id, right_id: rows of both streams (series, event_id, ts; whole numbers) of which the right one comes at most ``interval`` later.
 
     Each side also keeps rows without a partner, with null for the other's id, written once the watermark rules a partner out. A
-    left row is held for ``interval`` beyond the watermark, a right row until the watermark passes it.
+    left row is held for ``interval`` beyond the watermark, a right row until the watermark passes it. Series are cut into
+    bins of BIN_INTERVALS intervals, so that a row meets few others than its partners and a long series is many groups. Rows
+    without a time are left out. Needs state in RocksDB, which is set here.
     """
-    a = timed(left.select(F.col("series").alias("a"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts")), delay, "left_ts")
-    b = timed(right.select(F.col("series").alias("b"), F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts")), delay, "right_ts")
-    found = a.join(b, F.expr(f"a = b AND right_ts >= left_ts AND right_ts <= left_ts + interval {interval}"), "fullOuter")
-    return found.select(F.coalesce("a", "b").alias("series"), "left_id", "right_id")
+    spark = left.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    within = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + interval {interval})").first()[0]
+    width = max(BIN_INTERVALS * within, 1_000_000)
+
+    def side(samples: DataFrame, is_right: bool) -> DataFrame:
+        rows = timed(samples, delay).where("ts is not null").withColumn("micros", F.unix_micros("ts"))
+        own, other = (F.expr(f"({at}) div {width}") for at in ("micros", f"micros - {within}" if is_right else f"micros + {within}"))
+        rows = rows.withColumn("home", own).withColumn("bin", F.explode(F.array_distinct(F.array("home", other))))
+        whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+        return rows.select(
+            whole("series").alias("series"), F.col("series").isNull().alias("no_series"), "bin", "ts", "micros",
+            whole("event_id").alias("id"), F.col("event_id").isNotNull().alias("known"), (F.col("bin") == F.col("home")).alias("own"), F.lit(is_right).alias("is_right"),
+        )
+
+    rows = side(left, False).unionByName(side(right, True))
+    return rows.groupBy("series", "no_series", "bin").transformWithStateInPandas(Joined(within), JOINED, "Append", "EventTime")
 
 
 def counted(samples: DataFrame) -> DataFrame:
