@@ -82,3 +82,19 @@ def test_null_and_repeated_ids(spark):
     parts = sorted(((r.doc_id, r.component_id) for r in similar_documents(df).collect()), key=str)
     assert parts == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1), (None, None), (None, None)]
     assert dedup_lines(df).count() == len(rows)
+
+
+def test_language_stage_gives_a_batch_back_in_chunks(spark, monkeypatch):
+    """A worker holds no second copy of a batch, however many rows it has; no row goes missing between chunks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidegauge.llm import language_id
+
+    monkeypatch.setattr(language_id, "mapped_in_arrow", lambda docs, run, schema: run)
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    model = language_id.CentroidModel(np.ones(language_id.DIMENSIONS, np.float32), np.full((1, language_id.DIMENSIONS), language_id.DIMENSIONS**-0.5, np.float32), ["x"])
+    texts = [None if i % 7 == 0 else "12 34" if i % 7 == 1 else f"some words {i}" * (i % 5 + 1) for i in range(1000)]
+    out = list(language_id.keep_known(docs, model, reject_cosine=0.0)(iter([pa.record_batch({"doc_id": range(1000), "text": texts})])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [i for i in range(1000) if i % 7 > 1]
+    assert max(b.num_rows for b in out) <= 64

@@ -28,8 +28,8 @@ DIMENSIONS, CENTROIDS = 4096, 4
 FIT_ROWS, FIT_TOTAL = 400, 12_800
 #: Languages up to which the table of their counts is broadcast.
 FEW_LANGUAGES = 100_000
-#: Rows of a chunk: a row takes DIMENSIONS numbers, however short its text is.
-CHUNK_ROWS = 256
+#: Rows and bytes of a chunk: a row takes DIMENSIONS numbers, however short its text is, and a byte some fifty for its grams.
+CHUNK_ROWS, CHUNK_BYTES = 64, 1 << 18
 #: A text whose cosine to its closest centroid is under this is rejected, however short it is.
 REJECT_COSINE = 0.05
 #: Learnt bounds: powers of two of letter bytes, pieces of each length cut from a training row, the quantile of their cosines,
@@ -179,7 +179,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(1), rows=CHUNK_ROWS):
+            for first, last, data, offsets in chunks(batch.column(1), CHUNK_BYTES, CHUNK_ROWS):
                 counts = gram_counts(data, offsets).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 
@@ -200,7 +200,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(1):
-                for _, _, data, offsets in chunks(pa.array([p for p in cut_pieces(text.as_py()) if _ANY_LETTER.search(p)], pa.string()), rows=CHUNK_ROWS):
+                for _, _, data, offsets in chunks(pa.array([p for p in cut_pieces(text.as_py()) if _ANY_LETTER.search(p)], pa.string()), CHUNK_BYTES, CHUNK_ROWS):
                     own, score = shared.value.nearest(gram_counts(data, offsets))
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(length_class(_letters(data, offsets)), pa.int32()), pa.array(score, pa.float32())], names=["own", "length", "score"])
 
@@ -211,7 +211,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def _judged(texts: pa.Array, model: CentroidModel, reject_cosine: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, language, score, rejected) of runs of rows."""
     names = np.array(model.langs or ["und"], object)
-    for first, last, data, offsets in chunks(texts, rows=CHUNK_ROWS):
+    for first, last, data, offsets in chunks(texts, CHUNK_BYTES, CHUNK_ROWS):
         total = np.concatenate([[0], np.cumsum(_LETTER[_SIGN[data]])])
         has = total[offsets[1:]] > total[offsets[:-1]]
         for k in np.flatnonzero(~has & (np.diff(offsets) > 0)):
@@ -251,8 +251,9 @@ def keep_known(docs: DataFrame, model: CentroidModel, text_col: str = "text", re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [~rejected for *_, rejected in _judged(batch.column(at), shared.value, reject_cosine)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+            # A chunk's rows go out before the next is judged, so that a batch isn't held twice.
+            for first, last, *_, rejected in _judged(batch.column(at), shared.value, reject_cosine):
+                yield batch.slice(first, last - first).filter(pa.array(~rejected))
 
     return mapped_in_arrow(docs, run, docs.schema)
 
