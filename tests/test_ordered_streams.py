@@ -59,6 +59,14 @@ def test_late_rows_change_nothing_and_silent_series_begin_anew(spark, tmp_path):
     assert (got[8].rate, got[8].ring_size, got[8].counter_reset) == (None, 1, False)
 
 
+def test_a_row_is_taken_once_the_watermark_is_a_millisecond_past_it(spark, tmp_path):
+    """The last watermark is 101 s; the held rows are some packed arrays, not a row of the state each."""
+    part = lambda *items: spark.createDataFrame([(k, i, ms, float(i), "x") for k, i, ms in items], "series long, event_id long, ms long, value double, core string").select("series", "event_id", F.timestamp_millis("ms").alias("ts"), "value", "core")
+    stream = files(spark, tmp_path, [part((1, 2, 100_999), (1, 1, 100_500), (1, 3, 101_000)), part((7, 9, 131_000))])
+    got = rings.drained(ordered.in_order(ordered.counted(stream), "30 seconds"), "millisecond").collect()
+    assert [(r.event_id, r.ring_min, r.ring_max, r.ring_size) for r in sorted(got)] == [(1, 1.0, 1.0, 1), (2, 1.0, 2.0, 2)]
+
+
 def test_sessions_and_windows_drop_late_rows(spark, tmp_path):
     batches = [[(1, 1, 0, 1.0, "a"), (1, 2, 50, 2.0, "a")], [(1, 3, 5000, 3.0, "a")], [(4, 7, 5005, 0.0, "c")], [(1, 4, 90, 9.0, "a"), (2, 5, 5010, 4.0, "b")], [(3, 6, 20_000, 5.0, "a")]]
     stream = files(spark, tmp_path, [rows(spark, b) for b in batches])

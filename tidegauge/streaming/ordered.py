@@ -20,11 +20,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidegauge.operators.series import HISTORY
 
 ORDERED = "series long, event_id long, value double, counter long, rate long, counter_reset boolean, ring_min double, ring_max double, ring_size long"
-_HELD = "micros long, event_id long, value double, counter long"
+#: A row that waits for its turn.
+_HELD = np.dtype([("micros", "<i8"), ("event_id", "<i8"), ("value", "<f8"), ("counter", "<i8")])
 JOINED = "series long, left_id long, right_id long"
 #: A row of a join that waits: its id is ``known`` or null, it is in its ``own`` bin or a neighbour's, it has ``met`` a partner or not.
 _WAITING = np.dtype([("micros", "<i8"), ("id", "<i8"), ("known", "?"), ("own", "?"), ("met", "?")])
-#: Intervals in a bin of a join, pairs of a frame that is written, and rows of a packed array.
+#: Intervals in a bin of a join, pairs of a frame that is written; rows of a packed array of the state.
 BIN_INTERVALS, PAIRS_AT_ONCE, PACKED_ROWS = 16, 250_000, 50_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,8 +33,10 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class InOrder(StatefulProcessor):
     """Holds a series' rows until the watermark has passed them, then takes them in order of time and event_id.
 
-    State: the rows that wait (a list), the last counter and time (a value), the last values (a list). A timer stands at the
-    oldest row that waits. Another, ``silent_ms`` after the last row that was taken, forgets the series.
+    State: the rows that wait (a list of packed arrays, one for each micro-batch that brought some), and the last counter, time and
+    values (one value). A timer stands at the oldest row that waits; rows are taken when it fires, in the batch that brought them if
+    the watermark is that far. Another, ``silent_ms`` after the last row that was taken, forgets the series. Each access to
+    the state is a call from the worker to the JVM, so a series' rows go there and back whole.
     """
 
     def __init__(self, per: float, size: int, silent_ms: int) -> None:
@@ -41,73 +44,67 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _HELD)
-        self.last = handle.getValueState("last", "counter long, micros long")
-        self.ring = handle.getListState("ring", "value double")
+        self.held = handle.getListState("held", "packed binary")
+        self.last = handle.getValueState("last", "counter long, micros long, ring binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        oldest, watermark = None, timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            # Spark drops what the batch before already ruled out; what this one rules out goes here, as later rows may be written.
-            taken = frame.loc[frame["micros"] // 1000 >= watermark, ["micros", "event_id", "value", "counter"]]
-            if not len(taken):
-                continue
-            self.held.appendList(list(taken.itertuples(index=False, name=None)))
-            least = int(taken["micros"].min())
-            oldest = least if oldest is None else min(oldest, least)
-        if oldest is not None:
-            # Timers fire once the watermark is past them.
-            self.handle.registerTimer(oldest // 1000 + 1)
-        yield from self._passed(key, watermark)
+        frames, watermark = list(rows), timerValues.getCurrentWatermarkInMs()
+        come = np.zeros(sum(map(len, frames)), _HELD)
+        for name in _HELD.names:
+            come[name] = np.concatenate([f[name].to_numpy() for f in frames])
+        # Spark drops what the batch before already ruled out; what this one rules out goes here, as later rows may be written.
+        come = come[come["micros"] // 1000 >= watermark]
+        if len(come):
+            self.held.appendList(_packed(come))
+            self.handle.registerTimer(int(come["micros"].min()) // 1000)  # fires once the watermark is past it
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        watermark = timerValues.getCurrentWatermarkInMs()
-        yield from self._passed(key, watermark)
-        if self.last.exists() and not self.held.exists() and self.last.get()[1] // 1000 + self.silent_ms <= watermark:
-            self.last.clear()
-            self.ring.clear()
-
-    def _passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
-            return
-        rows = sorted(self.held.get())
-        done = [r for r in rows if r[0] // 1000 < watermark]
-        if not done:
-            return
-        wait = rows[len(done) :]
-        if wait:
-            self.held.put(wait)
-            self.handle.registerTimer(wait[0][0] // 1000 + 1)
-        else:
-            self.held.clear()
-        micros = np.array([r[0] for r in done])
-        then = self.last.get()[1] if self.last.exists() else None
-        anew = np.diff(micros, prepend=micros[0] if then is None else then) > self.silent_ms * 1000
+        watermark, rows = timerValues.getCurrentWatermarkInMs(), _unpacked(self.held, _HELD)
+        passed = rows["micros"] // 1000 < watermark
+        if passed.any():
+            wait = rows[~passed]
+            if len(wait):
+                self.held.put(_packed(wait))
+                self.handle.registerTimer(int(wait["micros"].min()) // 1000)
+            else:
+                self.held.clear()
+            done = rows[passed]
+            yield from self._passed(key, done[np.lexsort([done["event_id"], done["micros"]])])
+        elif not len(rows):
+            last = self.last.get()
+            if last is not None and last[1] // 1000 + self.silent_ms <= watermark:
+                self.last.clear()
+
+    def _passed(self, key, done: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The results for rows in order, after those taken before; the state is what follows from both."""
+        micros, last = done["micros"], self.last.get()
+        anew = np.diff(micros, prepend=micros[0] if last is None else last[1]) > self.silent_ms * 1000
+        anew[0] |= last is None
         for part in np.split(np.arange(len(done)), np.flatnonzero(anew)):
             if len(part):
-                yield self._taken(key, done[part[0] : part[-1] + 1], anew[part[0]])
+                frame, last = self._taken(key, done[part[0] : part[-1] + 1], None if anew[part[0]] else last)
+                yield frame
+        self.last.update(last)
         self.handle.registerTimer(int(micros[-1]) // 1000 + self.silent_ms)
 
-    def _taken(self, key, rows: list, anew: bool) -> pd.DataFrame:
-        """The result for rows in order, after those taken before, or ``anew``; the state is what follows from both."""
-        micros, events, values, counters = (np.array(c) for c in zip(*rows, strict=True))
-        first = anew or not self.last.exists()
-        counter, then = (counters[0], micros[0]) if first else self.last.get()
+    def _taken(self, key, rows: np.ndarray, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """The result for rows in order after ``last`` (None: anew), and what is last then."""
+        micros, counters, values = rows["micros"], rows["counter"], rows["value"]
+        counter, then = (counters[0], micros[0]) if last is None else last[:2]
         grown, passed = np.diff(counters, prepend=counter), np.diff(micros, prepend=then)
         known = (passed > 0) & (grown >= 0)
-        known[0] &= not first
-        rate = pd.array(np.floor(np.where(known, grown, 0) * self.per / (np.where(known, passed, 1) / 1e6)).astype(np.int64), "Int64")
-        rate[~known] = pd.NA
-        ring = [] if first else [r[0] for r in self.ring.get()]
-        flow = pd.Series(np.concatenate([np.array(ring, float), values.astype(float)]))
-        window = flow.rolling(self.size, min_periods=1)
-        low, high = (x.to_numpy()[len(ring) :] for x in (window.min(), window.max()))
-        self.last.update((int(counters[-1]), int(micros[-1])))
-        self.ring.put([(v,) for v in flow.to_numpy()[-self.size :].tolist()])
-        return pd.DataFrame({
-            "series": key[0], "event_id": events, "value": values.astype(float), "counter": counters, "rate": rate, "counter_reset": grown < 0,
-            "ring_min": low, "ring_max": high, "ring_size": np.minimum(np.arange(len(ring) + 1, len(flow) + 1), self.size),
+        known[0] &= last is not None
+        rate = np.floor(np.where(known, grown, 0) * self.per / (np.where(known, passed, 1) / 1e6)).astype(np.int64)
+        ring = np.zeros(0) if last is None else np.frombuffer(last[2], float)
+        flow = np.concatenate([ring, values])
+        # Each row sees itself and the size - 1 values before it, as many as there are.
+        window = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(self.size - 1, np.nan), flow]), self.size)[len(ring) :]
+        out = pd.DataFrame({
+            "series": key[0], "event_id": rows["event_id"], "value": values, "counter": counters, "rate": pd.arrays.IntegerArray(rate, ~known), "counter_reset": grown < 0,
+            "ring_min": np.fmin.reduce(window, axis=1), "ring_max": np.fmax.reduce(window, axis=1), "ring_size": np.minimum(np.arange(len(ring) + 1, len(flow) + 1), self.size),
         })
+        return out, (int(counters[-1]), int(micros[-1]), flow[-self.size :].tobytes())
 
     def close(self) -> None:
         pass
@@ -135,7 +132,7 @@ class Joined(StatefulProcessor):
             come[name] = np.concatenate([f[name].to_numpy() for f in frames])
         is_right = np.concatenate([f["is_right"].to_numpy(bool) for f in frames])
         lefts, rights = (_in_time(come[at]) for at in (~is_right, is_right))
-        held_lefts, held_rights = _unpacked(self.left), _unpacked(self.right)
+        held_lefts, held_rights = _unpacked(self.left, _WAITING), _unpacked(self.right, _WAITING)
         if not key[1]:  # a null series has no partners
             yield from self._pairs(key, lefts, held_rights)
         lefts = _in_time(np.concatenate([held_lefts, lefts]))
@@ -144,7 +141,7 @@ class Joined(StatefulProcessor):
         yield from self._wait(key, lefts, np.concatenate([held_rights, rights]), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._wait(key, _unpacked(self.left), _unpacked(self.right), timerValues.getCurrentWatermarkInMs())
+        yield from self._wait(key, _unpacked(self.left, _WAITING), _unpacked(self.right, _WAITING), timerValues.getCurrentWatermarkInMs())
 
     def _pairs(self, key, lefts: np.ndarray, rights: np.ndarray) -> Iterator[pd.DataFrame]:
         """The pairs of the bin's own right rows, some PAIRS_AT_ONCE a frame; all that meet are marked. ``lefts`` are in order."""
@@ -175,7 +172,7 @@ class Joined(StatefulProcessor):
                 state.clear()
             else:
                 waiting, ends = rows[~gone], [*ends, end[~gone].min()]
-                state.put([(waiting[k : k + PACKED_ROWS].tobytes(),) for k in range(0, len(waiting), PACKED_ROWS)])
+                state.put(_packed(waiting))
         if ends:
             self.handle.registerTimer(int(min(ends)))  # fires once the watermark is past it
 
@@ -187,9 +184,13 @@ def _in_time(rows: np.ndarray) -> np.ndarray:
     return rows[np.argsort(rows["micros"], kind="stable")]
 
 
-def _unpacked(state) -> np.ndarray:
+def _packed(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[k : k + PACKED_ROWS].tobytes(),) for k in range(0, len(rows), PACKED_ROWS)]
+
+
+def _unpacked(state, kind: np.dtype) -> np.ndarray:
     """The rows of a list of packed arrays, as an array that may be changed."""
-    return np.frombuffer(b"".join(r[0] for r in state.get()) if state.exists() else b"", _WAITING).copy()
+    return np.frombuffer(b"".join(r[0] for r in state.get()) if state.exists() else b"", kind).copy()
 
 
 def _joined(key, lefts: np.ndarray, rights: np.ndarray) -> pd.DataFrame:
