@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.operators import interval_join as interval_join_module
 from tidegauge.operators.interval_join import interval_join
 
 
@@ -82,3 +83,15 @@ def test_empty_tables(tables):
     left, right, _ = tables
     assert interval_join(left.limit(0), right, ("s", "e"), ("t", "u"), ["k"]).count() == 0
     assert interval_join(left, right.limit(0), ("s", "e"), ("t", "u"), ["k"], "left").count() == 300
+
+
+def test_few_candidates_a_pair(spark):
+    """Rows that meet in a bin are at most some two for each pair of a point and an interval."""
+    points = spark.range(20_000).select(F.col("id").alias("p"), (F.col("id") * 3).alias("at"))
+    spans = spark.range(60).select(F.col("id").alias("q"), (F.col("id") * 900).alias("s"), (F.col("id") * 950 + 300 + F.col("id") * 40).alias("e"))
+    one, other = interval_join_module._levelled(points, ("at", "at"), [], "a"), interval_join_module._levelled(spans, ("s", "e"), [], "b")
+    levels = [interval_join_module._levels(t) for t in (one, other)]
+    binned = [interval_join_module._binned(t, other_levels).where(f"__at in ({','.join(map(str, levels[1]))})") for t, other_levels in ((one, levels[1]), (other, levels[0]))]
+    candidates = binned[0].join(binned[1].withColumnRenamed("__level", "__level_b"), ["__at", "__bin"]).where("greatest(__level, __level_b) = __at").count()
+    pairs = interval_join(points, spans, ("at", "at"), ("s", "e")).count()
+    assert pairs == points.join(spans, F.expr("s <= at and at <= e")).count() and candidates < 2.1 * pairs
