@@ -95,3 +95,56 @@ def test_few_candidates_a_pair(spark):
     candidates = binned[0].join(binned[1].withColumnRenamed("__level", "__level_b"), ["__at", "__bin"]).where("greatest(__level, __level_b) = __at").count()
     pairs = interval_join(points, spans, ("at", "at"), ("s", "e")).count()
     assert pairs == points.join(spans, F.expr("s <= at and at <= e")).count() and candidates < 2.1 * pairs
+
+
+def test_what_is_shuffled_grows_with_the_rows_not_the_pairs(spark):
+    """Crowded rows listed level by level and cell by cell made 182 bytes a row here, and more a row with more rows."""
+    n = 40_000
+    points = spark.range(n).select(F.col("id").alias("p"), (F.col("id") * 7919 % 1_000_000).alias("at"))
+    spans = spark.range(n // 4).select(F.col("id").alias("q"), (F.col("id") * 104_729 % 1_000_000).alias("s")).withColumn("e", F.expr("s + q * 31 % 200000"))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert interval_join(points, spans, ("at", "at"), ("s", "e")).count() == 31_588_365
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled() - before < 80 * (n + n // 4)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_crowded_intervals_of_both_tables(spark, closed):
+    """Several blocks, runs and cells; ends that meet, copies, fractions, values at both ends of the axis, and a column that can't be compared."""
+    rng = random.Random(9)
+
+    def rows(n):
+        ends = [(s, s + rng.choice([0, 0, 1, 2.5, rng.randint(0, 400)])) for s in (rng.choice([5, rng.randint(0, 2000), rng.randint(0, 2000) + 0.5]) for _ in range(n))]
+        return [(i // 2, float(s), float(e)) for i, (s, e) in enumerate(ends)] + [(-1, -8e18, -8e18), (-2, 8e18, 8e18)]
+
+    left = spark.createDataFrame(rows(1500), "a long, s double, e double").withColumn("more", F.create_map(F.lit("x"), "a"))
+    right = spark.createDataFrame(rows(1200), "b long, t double, u double")
+    op = "<=" if closed else "<"
+    want = left.crossJoin(right).where(f"s {op} u and t {op} e").groupBy("a", "b", "s", "t", "e", "u").count()
+    got = interval_join(left, right, ("s", "e"), ("t", "u"), closed=closed, crowded=1000, cell=600)
+    assert got.columns == ["a", "s", "e", "more", "b", "t", "u"]
+    assert {tuple(r) for r in got.groupBy("a", "b", "s", "t", "e", "u").count().collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize("crowded", [4_000_000, 50])
+def test_times_without_a_zone_in_an_hour_that_a_zone_skips(spark, crowded):
+    minutes = lambda c: F.expr(f"timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, {c})")
+    points = spark.range(300).toDF("p").withColumn("at", minutes("p"))
+    spans = spark.range(300).toDF("q").withColumn("s", minutes("q")).withColumn("e", minutes("q + q % 90"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = interval_join(points, spans, ("at", "at"), ("s", "e"), crowded=crowded, cell=40)
+        assert sorted((r.p, r.q) for r in got.collect()) == [(p, q) for p in range(300) for q in range(300) if q <= p <= q + q % 90]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
